@@ -5,6 +5,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(column):
@@ -22,7 +23,7 @@ def digest(column):
     return F.sha2(canonical_json(column), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def archived_digest(texts: pd.Series) -> pd.Series:
     """SHA-256 of canonical JSON with the archive's own number text, for rows that carry floats."""
     def one(text):

@@ -4,6 +4,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Phrases that count as declining to answer.
 DECLINES = (
@@ -20,22 +21,40 @@ _ASCII = r"^[\x00-\x7F]*$"
 _ASCII_SPACE = r"[\t-\r\x1c-\x20]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unicode_fold(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda text: " ".join(unicodedata.normalize("NFKC", text).casefold().split()),
         na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unicode_fold_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [
+        " ".join(unicodedata.normalize("NFKC", text or "").casefold().split()) for text in texts],
+        na_action="ignore")
+
+
+def _plain(text):
+    return F.trim(F.regexp_replace(F.lower(text), _ASCII_SPACE, " "))
+
+
 def normalize(text):
     """NFKC, case folding and single spaces; NULL reads as the empty string.
 
     ASCII rows never leave the JVM: the Arrow function receives NULL for them.
     """
     text = F.coalesce(text, F.lit(""))
-    plain = F.trim(F.regexp_replace(F.lower(text), _ASCII_SPACE, " "))
     is_ascii = text.rlike(_ASCII)
     folded = _unicode_fold(F.when(~is_ascii, text))
+    return F.when(is_ascii, _plain(text)).otherwise(folded)
+
+
+def normalize_all(texts):
+    """``normalize`` over every element of an array of texts."""
+    is_ascii = F.forall(texts, lambda t: F.coalesce(t, F.lit("")).rlike(_ASCII))
+    folded = _unicode_fold_all(F.when(~is_ascii, texts))
+    plain = F.transform(texts, lambda t: _plain(F.coalesce(t, F.lit(""))))
     return F.when(is_ascii, plain).otherwise(folded)
 
 

@@ -4,6 +4,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN_BUDGET = 25_000
 
@@ -12,7 +13,7 @@ WIRE_RESERVED = ("model", "messages", "tools", "tool_calls", "seed", "stream")
 
 
 def _tiktoken_counter(encoding):
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
         import tiktoken
         encoder = tiktoken.get_encoding(encoding)
@@ -59,7 +60,12 @@ def _wire_message(message):
     return wire
 
 
-@F.pandas_udf("struct<body:string, messages:array<string>, tools:array<string>, toolNames:array<string>>")
+_WIRE = T.StructType([
+    T.StructField("body", T.StringType()), T.StructField("messages", T.ArrayType(T.StringType())),
+    T.StructField("tools", T.ArrayType(T.StringType())), T.StructField("toolNames", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_WIRE)
 def wire_parts(requests: pd.Series) -> pd.DataFrame:
     """Provider body of a native request and the JSON of each message and tool, byte for byte.
 

@@ -184,7 +184,7 @@ def a13(spark, folder):
 PROVENANCE = """
 WITH gold AS (SELECT o_custkey AS "runId", o_orderkey AS "probeId",
   CASE o_orderpriority WHEN '1-URGENT' THEN 'ECONOMY' WHEN '2-HIGH' THEN 'STANDARD' WHEN '3-MEDIUM' THEN 'MEDIUM'
-   WHEN '4-NOT SPECIFIED' THEN 'LARGE' END AS need FROM orders WHERE o_orderstatus <> 'X'),
+   WHEN '4-NOT SPECIFIED' THEN 'LARGE' END AS need FROM orders),
 required AS (SELECT "runId", "probeId", need AS f FROM gold WHERE need IS NOT NULL
  UNION SELECT "runId", "probeId", 'Brand#' || (length(need) + 1) FROM gold WHERE need IS NOT NULL),
 sources AS (SELECT DISTINCT "runId", "probeId", CAST(l_partkey AS VARCHAR) AS s FROM gold JOIN lineitem ON l_orderkey = "probeId" WHERE l_returnflag <> 'N'),
