@@ -13,36 +13,37 @@ def at(value, path, kind="variant"):
     return F.try_variant_get(value, path, kind)
 
 
-def type_of(value):
-    """One of OBJECT, ARRAY, STRING, INTEGER, NUMBER, BOOLEAN, NULL; SQL NULL for a missing value."""
-    schema = F.schema_of_variant(value)
-    return (F.when(value.isNull(), F.lit(None))
-            .when(F.is_variant_null(value), "NULL")
-            .when(schema.startswith("OBJECT"), "OBJECT")
-            .when(schema.startswith("ARRAY"), "ARRAY")
-            .when(schema == "STRING", "STRING")
-            .when(schema == "BOOLEAN", "BOOLEAN")
-            .when(schema == "BIGINT", "INTEGER")
-            .otherwise("NUMBER"))
+_SCHEMA = {"OBJECT": "OBJECT<.*", "ARRAY": "ARRAY<.*", "STRING": "STRING", "BOOLEAN": "BOOLEAN",
+           "INTEGER": "BIGINT", "NUMBER": "(DOUBLE|FLOAT|DECIMAL).*", "NULL": "VOID"}
+
+
+def is_schema(schema, *kinds):
+    """Whether the text of ``schema_of_variant`` names one of the given JSON types."""
+    return F.coalesce(schema.rlike("(?s)^(" + "|".join(_SCHEMA[k] for k in kinds) + ")$"), F.lit(False))
 
 
 def is_type(value, *kinds):
-    """Whether a present value has one of the given types; a missing value has none."""
-    return F.coalesce(type_of(value).isin(*kinds), F.lit(False))
+    """Whether a present value is an OBJECT, ARRAY, STRING, INTEGER, NUMBER (with a fraction or an
+    exponent), BOOLEAN or NULL; a missing value has no type."""
+    return is_schema(F.schema_of_variant(value), *kinds)
 
 
 def keys(value):
-    """Key names of a JSON object held as VARIANT."""
-    return F.map_keys(F.from_json(value.cast("string"), "map<string,string>"))
+    """Key names of a JSON object held as VARIANT; NULL for other values."""
+    return F.map_keys(at(value, "$", "map<string,variant>"))
 
 
 def only_keys(value, allowed):
-    """Whether a JSON object holds no key outside ``allowed``."""
+    """Whether a value is a JSON object that holds no key outside ``allowed``."""
     extra = F.array_except(keys(value), F.array(*[F.lit(name) for name in allowed]))
-    return is_type(value, "OBJECT") & (F.size(F.coalesce(extra, F.array())) == 0)
+    return F.coalesce(F.size(extra) == 0, F.lit(False))
 
 
 def elements(value, path="$"):
     """A JSON array as array<variant>; NULL when it is not an array."""
-    item = at(value, path)
-    return F.when(is_type(item, "ARRAY"), at(value, path, "array<variant>"))
+    return at(value, path, "array<variant>")
+
+
+def element_schemas(text):
+    """Type text of each element of a JSON array given as text; NULL when it is not an array."""
+    return F.transform(elements(strict(text)), F.schema_of_variant)

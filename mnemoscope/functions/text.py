@@ -1,5 +1,6 @@
 """Answer text: normalisation, decline phrases, timestamps and hash shapes."""
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -28,11 +29,12 @@ def _unicode_fold(texts: pd.Series) -> pd.Series:
         na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def _unicode_fold_all(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda texts: [
-        " ".join(unicodedata.normalize("NFKC", text or "").casefold().split()) for text in texts],
-        na_action="ignore")
+    # Lists cross as JSON text: Arrow moves plain strings far faster than nested lists.
+    return lists.map(lambda text: json.dumps([
+        " ".join(unicodedata.normalize("NFKC", item or "").casefold().split())
+        for item in json.loads(text)]), na_action="ignore")
 
 
 def _plain(text):
@@ -53,7 +55,7 @@ def normalize(text):
 def normalize_all(texts):
     """``normalize`` over every element of an array of texts."""
     is_ascii = F.forall(texts, lambda t: F.coalesce(t, F.lit("")).rlike(_ASCII))
-    folded = _unicode_fold_all(F.when(~is_ascii, texts))
+    folded = F.from_json(_unicode_fold_all(F.when(~is_ascii, F.to_json(texts))), "array<string>")
     plain = F.transform(texts, lambda t: _plain(F.coalesce(t, F.lit(""))))
     return F.when(is_ascii, plain).otherwise(folded)
 

@@ -29,11 +29,12 @@ def position_blocks(df, position, size=65_536):
     return df.withColumn(BLOCK, F.expr(f"`{position}` div {size}"))
 
 
-def running(blocks, keys, order, rank=None, sums=None, maxes=None, lags=None):
+def running(blocks, keys, order, rank=None, sums=None, maxes=None, lags=None, keep_blocks=False):
     """Add running columns over (keys ordered by ``order``) to a DataFrame that has blocks.
 
     rank: name of a 1-based row number; sums and maxes: {new column: input column}, both inclusive of
-    the current row; lags: {new column: input column} of the previous row.
+    the current row; lags: {new column: input column} of the previous row.  ``keep_blocks`` leaves the
+    blocks in place for a further scan in the same order.
     """
     sums, maxes, lags = sums or {}, maxes or {}, lags or {}
     inside = W.partitionBy(*keys, BLOCK).orderBy(*order)
@@ -63,7 +64,7 @@ def running(blocks, keys, order, rank=None, sums=None, maxes=None, lags=None):
     # A group fits in one block unless it is cut, so few rows have anything carried in.
     joined = blocks.select("*", *columns).join(carry, [*keys, BLOCK], "left")
 
-    result = [c for c in blocks.columns if c != BLOCK]
+    result = [c for c in blocks.columns if keep_blocks or c != BLOCK]
     out = [F.col(c) for c in result]
     if rank:
         out.append((F.col("_rn") + F.coalesce("_cn", F.lit(0))).alias(rank))
