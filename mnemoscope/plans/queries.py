@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from mnemoscope.plans import archive_queries, ledger_queries, matching_queries, metric_queries  # noqa: F401
+from mnemoscope.plans import archive_queries, generate_queries, ledger_queries, matching_queries, metric_queries  # noqa: F401
 from mnemoscope.plans.catalog import ORACLES, QUERIES  # noqa: F401
