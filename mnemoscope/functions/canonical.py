@@ -61,3 +61,21 @@ def run_directory(run_id, config_hash):
 def same_json(left, right):
     """Structural JSON equality that ignores key order."""
     return F.to_json(F.try_parse_json(left)).eqNullSafe(F.to_json(F.try_parse_json(right)))
+
+
+def projection_digest(fields):
+    """An Arrow function: archived digest of the given fields of JSON objects, absent ones left out."""
+    wanted = tuple(fields)
+
+    @F.pandas_udf(T.StringType())
+    def digest_fields(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = json.loads(text)
+                body = json.dumps({name: value[name] for name in wanted if name in value}, sort_keys=True,
+                                  separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+            except (ValueError, TypeError):
+                return None
+            return hashlib.sha256(f"{body}\n".encode()).hexdigest()
+        return texts.map(one, na_action="ignore")
+    return digest_fields
