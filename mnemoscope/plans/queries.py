@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from mnemoscope.plans import archive_queries, generate_queries, ledger_queries, matching_queries, metric_queries  # noqa: F401
+from mnemoscope.plans import (  # noqa: F401
+    archive_queries, generate_queries, ledger_queries, matching_queries, metric_queries, streaming_queries)
 from mnemoscope.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -42,3 +42,15 @@ def checkpointed(df):
             folder = tempfile.mkdtemp(prefix="mnemoscope-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_folder(spark, name):
+    """A fresh folder for tables a job writes and reads back, under the shared checkpoint folder."""
+    import uuid
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
+        base = tempfile.mkdtemp(prefix="mnemoscope-scratch-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
