@@ -232,23 +232,22 @@ def relevance(per_probe):
         "reportedPrecision", "reportedRecall", "precisionDefinedCount", "recallDefinedCount")
 
 
-def session_distance(probes, facts, turns):
+def session_distance(probes, required, facts, turns):
     """Sessions between a probe's checkpoint and its earliest required fact.
 
     A labelled distance wins; without evidence it is 0; evidence later than the checkpoint gives NULL.
-    probes: runId?, fixtureId, probeId, checkpoint (session index), sessionDistance?, requiredFactIds;
-    facts: fixtureId, factId, introducedAt; turns: fixtureId, turnId, sessionIndex.
+    probes: fixtureId, probeId, checkpoint (session index), sessionDistance?; required: fixtureId,
+    probeId, factId; facts: fixtureId, factId, introducedAt; turns: fixtureId, turnId, sessionIndex.
     """
     intro = facts.join(turns.select("fixtureId", F.col("turnId").alias("introducedAt"), "sessionIndex"),
                        ["fixtureId", "introducedAt"]).select("fixtureId", "factId", "sessionIndex")
-    needed = probes.select("fixtureId", "probeId", F.explode("requiredFactIds").alias("factId"))
     # A fact may be evidence of very many probes.
-    found = lookup_join(needed, intro, ["fixtureId", "factId"], "left", spread=["probeId"])
+    found = lookup_join(required, intro, ["fixtureId", "factId"], "left", spread=["probeId"])
     per_probe = found.groupBy("fixtureId", "probeId").agg(
         F.min("sessionIndex").alias("_first"), F.max("sessionIndex").alias("_last"),
         F.count_if(F.col("sessionIndex").isNull()).alias("_unknown"))
     rows = probes.join(per_probe, ["fixtureId", "probeId"], "left")
-    derived = (F.when(F.coalesce(F.size("requiredFactIds"), F.lit(0)) == 0, F.lit(0))
+    derived = (F.when(F.col("_unknown").isNull(), F.lit(0))
                .when((F.col("_unknown") == 0) & (F.col("_last") <= F.col("checkpoint")),
                      F.col("checkpoint") - F.col("_first")))
     return rows.withColumn("derivedDistance", derived.cast("int")).withColumn(

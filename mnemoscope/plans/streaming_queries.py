@@ -30,11 +30,10 @@ def t01(spark, folder):
         F.count(F.lit(1)).alias("records"), F.sum("requestId").alias("ids"))
 
 
-@query("t08_incremental_metrics", VIEWS + """, x AS (SELECT r."runId", r."totalTokens", coalesce(o.eligible, FALSE) AS eligible, coalesce(o.correct, FALSE) AS correct, r.status, r.category FROM request r LEFT JOIN outcome o USING ("runId", "probeId"))
- SELECT "runId", count(*) AS total, count(*) FILTER (status = 'ok') AS answered, count(*) FILTER (status = 'ok' AND k2 < 70) AS correct, CAST(sum("totalTokens") AS BIGINT) AS "totalTokens",
+@query("t08_incremental_metrics", VIEWS + """ SELECT "runId", count(*) AS total, count(*) FILTER (status = 'ok') AS answered, count(*) FILTER (status = 'ok' AND k < 70) AS correct, CAST(sum("totalTokens") AS BIGINT) AS "totalTokens",
  count(*) FILTER (category = 'budget') AS budget, count(*) FILTER (category = 'provider') AS provider, count(*) FILTER (category = 'adapter') AS adapter, count(*) FILTER (category = 'timeout') AS timeout,
- CAST(count(*) FILTER (status = 'ok' AND k2 < 70) AS DOUBLE) / nullif(count(*) FILTER (status = 'ok'), 0) AS accuracy, CAST(count(*) FILTER (status = 'ok') AS DOUBLE) / count(*) AS "completionRate"
- FROM (SELECT *, k AS k2 FROM request) GROUP BY "runId" """)
+ CAST(count(*) FILTER (status = 'ok' AND k < 70) AS DOUBLE) / nullif(count(*) FILTER (status = 'ok'), 0) AS accuracy, CAST(count(*) FILTER (status = 'ok') AS DOUBLE) / count(*) AS "completionRate"
+ FROM request GROUP BY "runId" """)
 def t08(spark, folder):
     k = F.get_json_object("props", "$.k").cast("int")
     failed = F.col("event_type") == "error"

@@ -62,7 +62,7 @@ class _Deadline(StatefulProcessor):
         self.handle = handle
         self.started = handle.getValueState("started", T.StructType([T.StructField("at", T.LongType())]))
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         for row in sorted(rows, key=lambda r: (r.atMillis, r.type != "start")):
             if row.type == "start":
                 if not self.started.exists():
@@ -76,7 +76,7 @@ class _Deadline(StatefulProcessor):
                 yield Row(runId=key[0], probeId=key[1], outcome="timeout" if elapsed > self.timeout_ms else "ok",
                           latencyMs=float(elapsed))
 
-    def handleExpiredTimer(self, key, timers, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.started.exists():
             self.started.clear()
             yield Row(runId=key[0], probeId=key[1], outcome="timeout", latencyMs=None)

@@ -17,7 +17,7 @@ class _Bucket(StatefulProcessor):
     def init(self, handle):
         self.full = handle.getValueState("full", T.StructType([T.StructField("at", T.LongType())]))
 
-    def handleInputRows(self, key, rows, timers):
+    def handleInputRows(self, key, rows, timerValues):
         full = self.full.get()[0] if self.full.exists() else None
         for row in sorted(rows, key=lambda r: (r.atMicros, r.seq)):
             waiting = 0 if full is None else max(0, full - self.burst - row.atMicros)
