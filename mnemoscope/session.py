@@ -1,6 +1,7 @@
 """Session settings the operators rely on, and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,9 +45,16 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def materialized(df, name):
+    """Write a table to the shared scratch folder and read it back: later readers scan only the columns
+    they need, and nothing is computed again."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_folder(spark, name):
     """A fresh folder for tables a job writes and reads back, under the shared checkpoint folder."""
-    import uuid
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
