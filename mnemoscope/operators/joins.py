@@ -19,15 +19,14 @@ def fits_broadcast(df):
 def lookup_join(rows, lookup, keys, how="inner", spread=None, salts=SALTS):
     """Join many rows to a lookup table by coarse keys such as the run or the fixture.
 
-    A lookup within the broadcast threshold is broadcast.  A larger one is copied ``salts`` times and
-    the rows of each key are spread over the copies by the hash of ``spread`` (columns that vary
-    inside a key), so that one hot key does not end in one task.
+    A lookup within the session's broadcast threshold is left to Catalyst, which broadcasts it, or to
+    adaptive execution, which measures it first.  A larger one is copied ``salts`` times and the rows
+    of each key are spread over the copies by the hash of ``spread`` (columns that vary inside a key),
+    so that one hot key does not end in one task.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep each row on its own side can be salted")
-    if fits_broadcast(lookup):
-        return rows.join(F.broadcast(lookup), keys, how)
-    if not spread:
+    if fits_broadcast(lookup) or not spread:
         return rows.join(lookup, keys, how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

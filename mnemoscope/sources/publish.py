@@ -13,7 +13,7 @@ def published_identities(spark, path):
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder) or spark.read.parquet(path).schema is None:
+    if not system.exists(folder):
         return spark.createDataFrame([], "identity string")
     return spark.read.parquet(path).select(F.col("identity").cast("string").alias("identity")).distinct()
 
