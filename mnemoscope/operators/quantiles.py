@@ -23,6 +23,18 @@ def _pick(counts, keys, bins):
     return ranked.filter(inside).withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n"))
 
 
+def _pick_all(counts, keys, bins, probs):
+    """The same for the first level, where every fraction has its rank in the whole group."""
+    group = W.partitionBy(*keys)
+    upto = group.orderBy(*bins).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counts.withColumn("_total", F.sum("_n").over(group)).withColumn("_upto", F.sum("_n").over(upto))
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.ceil(F.col("_total") * F.lit(float(p))).cast("bigint").alias("rank"))
+                       for p in probs])
+    here = F.filter(wanted, lambda x: (x["rank"] <= F.col("_upto")) & (x["rank"] > F.col("_upto") - F.col("_n")))
+    return ranked.select("*", F.explode(here).alias("_w")).select(
+        *counts.columns, "_w.prob", (F.col("_w.rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+
+
 def _summarise(value):
     return (F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
 
@@ -32,16 +44,12 @@ def nearest_rank(df, keys, value, probs):
 
     ``probs`` is a short list of fractions.  NULL values are left out.
     """
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     rows = rows.withColumn("_b1", (F.signum(F.col("_v").cast("double"))
                                    * F.floor(F.log1p(F.abs(F.col("_v").cast("double"))) * _COARSE)))
     coarse = rows.groupBy(*keys, "_b1").agg(*_summarise("_v"))
-    size = coarse.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranks = (size.withColumn("prob", wanted)
-             .withColumn("_rank", F.ceil(F.col("_total") * F.col("prob")).cast("bigint")))
-    # Bins of one key are bounded, so this window and join are small per key.
-    first = _pick(lookup_join(coarse, ranks, keys, spread=["_b1"]), [*keys, "prob"], ["_b1"])
+    # Bins of one key are bounded, so the window over them is small.
+    first = _pick_all(coarse, keys, ["_b1"], probs)
     first = first.select(*keys, "_b1", "prob", "_rank", "_lo", "_hi")
     settled = first.filter("_lo = _hi").select(*keys, "prob", F.col("_lo").alias("quantile"))
     open_bins = first.filter("_lo < _hi")
