@@ -41,23 +41,32 @@ def _plain(text):
     return F.trim(F.regexp_replace(F.lower(text), _ASCII_SPACE, " "))
 
 
-def normalize(text):
+def is_ascii(text):
+    return F.coalesce(text, F.lit("")).rlike(_ASCII)
+
+
+def normalize(text, ascii_only=False):
     """NFKC, case folding and single spaces; NULL reads as the empty string.
 
-    ASCII rows never leave the JVM: the Arrow function receives NULL for them.
+    ASCII rows never leave the JVM: the Arrow function receives NULL for them.  A caller that knows
+    all rows to be ASCII leaves it out.
     """
     text = F.coalesce(text, F.lit(""))
-    is_ascii = text.rlike(_ASCII)
-    folded = _unicode_fold(F.when(~is_ascii, text))
-    return F.when(is_ascii, _plain(text)).otherwise(folded)
+    if ascii_only:
+        return _plain(text)
+    plain = text.rlike(_ASCII)
+    folded = _unicode_fold(F.when(~plain, text))
+    return F.when(plain, _plain(text)).otherwise(folded)
 
 
-def normalize_all(texts):
+def normalize_all(texts, ascii_only=False):
     """``normalize`` over every element of an array of texts."""
-    is_ascii = F.forall(texts, lambda t: F.coalesce(t, F.lit("")).rlike(_ASCII))
-    folded = F.from_json(_unicode_fold_all(F.when(~is_ascii, F.to_json(texts))), "array<string>")
     plain = F.transform(texts, lambda t: _plain(F.coalesce(t, F.lit(""))))
-    return F.when(is_ascii, plain).otherwise(folded)
+    if ascii_only:
+        return plain
+    all_ascii = F.forall(texts, is_ascii)
+    folded = F.from_json(_unicode_fold_all(F.when(~all_ascii, F.to_json(texts))), "array<string>")
+    return F.when(all_ascii, plain).otherwise(folded)
 
 
 def is_decline(normalized):

@@ -31,7 +31,7 @@ def score_runs(gold, captured, runs, scorer_version, verdicts=None, pinned_model
     rows = gold.join(attempt, KEY, "left").withColumn("eligible", F.coalesce("_eligible", F.lit(False)))
     answered = rows.filter("eligible")
     semantic = F.col("expected.matchType") == "semantic"
-    judged = X.match_answers(answered.filter(~semantic)).withColumn("judgeOutput", F.lit(None).cast("string")).select(*KEY, *RESULT)
+    judged = X.match_answers(answered.filter(~semantic), split=False).withColumn("judgeOutput", F.lit(None).cast("string")).select(*KEY, *RESULT)
     if verdicts is not None:
         by_judge = X.apply_verdicts(answered.filter(semantic), verdicts, KEY, pinned_model)
         judged = judged.unionByName(by_judge.select(*KEY, *RESULT))
