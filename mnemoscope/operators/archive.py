@@ -60,10 +60,10 @@ def linked_requests(probes, identities):
                               F.col("status").alias("_status"), "hash")
     rows = named.join(known, ["runId", "requestId"], "left")
     problem = (F.when(~F.coalesce(F.col("_owner") == F.col("probeId"), F.lit(False)),
-                      "probe references unarchived request")
-               .when(~F.col("hash").eqNullSafe(F.col("_claimed")), "probe request telemetry differs from archive")
+                      "the archive has no such request of this probe")
+               .when(~F.col("hash").eqNullSafe(F.col("_claimed")), "the copy of the request in the probe differs")
                .when(F.col("eligibleForAccuracy") & (F.col("_status") != "ok"),
-                     "answered probe includes failed request"))
+                     "an answered probe holds a failed request"))
     return rows.select("runId", "probeId", "position", "requestId", problem.alias("problem"))
 
 

@@ -82,9 +82,9 @@ def review_problems(rows, reviews, keys=("calibrationSetId", "probeId")):
     uncovered = coverage(rows, reviews, keys)
     joined = rows.select(*keys, "goldJudgment").join(reviews, keys)
     problem = (F.when(~holds(F.col("justificationConsistent")) | ~holds(F.col("evidenceConsistent")),
-                      "review must confirm justification and evidence")
+                      "the review leaves the label unconfirmed")
                .when(~holds(F.col("confirmedGoldJudgment") == F.col("goldJudgment")),
-                     "confirmed judgment differs from gold judgment"))
+                     "the review confirms another judgment"))
     return uncovered.unionByName(
         joined.withColumn("problem", problem).filter("problem IS NOT NULL").select(*keys, "problem"))
 

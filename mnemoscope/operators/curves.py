@@ -38,9 +38,9 @@ def curve_points(reports, fields=CURVE_FIELDS):
 def curve_violations(reports):
     """Scales outside the fixed set, and manifests that occur twice: a duplicate is not a repeat."""
     scale = reports.filter(~holds(F.col("scale").isin(*SCALES))).select(
-        "manifestHash", F.lit("curve scale must be 10, 100, 500, or 1000").alias("problem"))
+        "manifestHash", F.lit("scale outside the four").alias("problem"))
     twice = duplicates(reports, ["manifestHash"]).select(
-        "manifestHash", F.lit("duplicate artifact is not a repeated run").alias("problem"))
+        "manifestHash", F.lit("the same artifact twice is no repeat").alias("problem"))
     return scale.unionByName(twice)
 
 

@@ -67,6 +67,11 @@ def breakdown(outcome):
         ratio("answered", "total").alias("completionRate"))
 
 
+def in_label_order(rows):
+    """Breakdown rows for presentation: labels sort as text, so 10 comes before 9."""
+    return rows.orderBy("runId", "dimension", "label")
+
+
 def abstention(outcome, keys=("runId",)):
     """Abstentions among answered probes; abstaining is a judgment, not a correctness."""
     answered = F.col("eligible")

@@ -12,8 +12,8 @@ from mnemoscope.plans.metric_queries import VIEWS, outcomes
 from mnemoscope.sources import tables as T
 
 
-@query("j03_linked_requests", VIEWS + """SELECT c."runId", c."probeId", 0 AS position, c."requestId", CASE WHEN r.status IS NULL THEN 'probe references unarchived request'
- WHEN r.value > 200 THEN 'probe request telemetry differs from archive' END AS problem FROM captured c LEFT JOIN request r USING ("runId", "requestId")""")
+@query("j03_linked_requests", VIEWS + """SELECT c."runId", c."probeId", 0 AS position, c."requestId", CASE WHEN r.status IS NULL THEN 'the archive has no such request of this probe'
+ WHEN r.value > 200 THEN 'the copy of the request in the probe differs' END AS problem FROM captured c LEFT JOIN request r USING ("runId", "requestId")""")
 def j03(spark, folder):
     requests = T.requests(spark, folder)
     identities = A.compact_identity(requests.select("runId", "requestId", "probeId", "status", "seq", "totalTokens"))
@@ -331,8 +331,8 @@ def a16(spark, folder):
     return C.declared_counts(rows, declared)
 
 
-@query("j10_review_problems", CALIBRATION + """SELECT "calibrationSetId", "probeId", CASE WHEN ability = 'abstention' THEN 'missing' WHEN source = 'src1' THEN 'review must confirm justification and evidence'
- ELSE 'confirmed judgment differs from gold judgment' END AS problem FROM rows WHERE ability = 'abstention' OR source = 'src1' OR judgment <> "goldJudgment" """)
+@query("j10_review_problems", CALIBRATION + """SELECT "calibrationSetId", "probeId", CASE WHEN ability = 'abstention' THEN 'missing' WHEN source = 'src1' THEN 'the review leaves the label unconfirmed'
+ ELSE 'the review confirms another judgment' END AS problem FROM rows WHERE ability = 'abstention' OR source = 'src1' OR judgment <> "goldJudgment" """)
 def j10(spark, folder):
     rows = calibration_rows(spark, folder)
     reviews = rows.filter("ability <> 'abstention'").select(

@@ -214,8 +214,8 @@ def verdict_rows(spark, folder):
 
 
 @query("f11_verdicts", """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_linestatus) = 'O' AS answerable FROM lineitem GROUP BY 1, 2),
- v AS (SELECT *, CASE WHEN q > 45 THEN 'judge model does not match the pinned model' WHEN q < 10 THEN NULL WHEN q < 15 THEN 'inconsistent pass' WHEN q < 20 THEN NULL
- WHEN q < 25 THEN 'requiredClaimCoverage must contain aligned booleans' WHEN q < 30 THEN 'confidence must be finite in 0..1' WHEN q < 35 THEN 'verdict requires a valid judgment' END AS "goldError",
+ v AS (SELECT *, CASE WHEN q > 45 THEN 'another judge than the pinned one' WHEN q < 10 THEN NULL WHEN q < 15 THEN 'inconsistent pass' WHEN q < 20 THEN NULL
+ WHEN q < 25 THEN 'claim coverage is not one boolean per claim' WHEN q < 30 THEN 'confidence outside 0 to 1' WHEN q < 35 THEN 'no known judgment' END AS "goldError",
  CASE WHEN q < 10 THEN 'pass' WHEN q < 20 THEN 'abstain' ELSE 'fail' END AS j FROM l)
  SELECT l_orderkey, l_linenumber, "goldError", CASE WHEN "goldError" IS NULL THEN j END AS judgment,
  CASE WHEN "goldError" IS NULL THEN (j = 'pass' AND answerable) OR (j = 'abstain' AND NOT answerable) END AS correct FROM v""")

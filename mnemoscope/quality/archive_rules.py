@@ -33,18 +33,18 @@ def archive_violations(requests, captured, gold, lifecycle, identities=None):
     for tier in TIERS:
         tiers_ok = tiers_ok & (F.col(f"tierTokens.`{tier}`") >= 0)
     rules = [
-        ("R01", ~over | rejected, "over-budget request was not rejected"),
-        ("R03", F.col("status").isin("ok", "error"), "request telemetry requires ok/error status"),
+        ("R01", ~over | rejected, "a request above the budget went through"),
+        ("R03", F.col("status").isin("ok", "error"), "request status is neither ok nor error"),
         ("R04", ~blank(F.col("requestId")), "requestId required"),
         ("R06", (F.col("totalTokens") >= 0) & (F.col("requestOverheadTokens") >= 0) & tiers_ok,
          "token counts must be nonnegative integers"),
     ]
     if "retokenized" in requests.columns:
         same = F.col("retokenized") == F.struct("totalTokens", "tierTokens", "requestOverheadTokens")
-        rules.append(("R02", same, "request telemetry differs from retokenization"))
+        rules.append(("R02", same, "counting the tokens again gives another result"))
     calls = flag(requests, "runId", F.coalesce("requestId", F.lit("request")), rules)
     twice = duplicates(requests, ["runId", "requestId"])
-    parts = [calls, found(twice, "runId", F.col("requestId"), "R05", "duplicate requestId in request telemetry")]
+    parts = [calls, found(twice, "runId", F.col("requestId"), "R05", "a request id occurs twice in its run")]
 
     where = gold.select(*KEY, F.col("afterSessionId").alias("_checkpoint"), F.lit(True).alias("_gold"))
     rows = captured.join(where, KEY, "left")
@@ -52,22 +52,22 @@ def archive_violations(requests, captured, gold, lifecycle, identities=None):
     linked_ids = F.transform("requests", lambda r: r["requestId"])
     parts.append(flag(rows, "runId", F.coalesce("probeId", F.lit("probe")), [
         ("R07", F.col("_gold").isNotNull(), "unknown captured probe"),
-        ("R08", F.col("_gold").isNull() | (F.col("sessionId") == F.col("_checkpoint")), "probe checkpoint mismatch"),
+        ("R08", F.col("_gold").isNull() | (F.col("sessionId") == F.col("_checkpoint")), "captured at another checkpoint"),
         ("R09", eligible.isNotNull() & (F.col("status") == F.when(eligible, "ok").otherwise("error")),
-         "probe eligibility/status mismatch"),
-        ("R10", ~holds(eligible) | F.col("answer").isNotNull(), "answered probe requires raw answer string"),
-        ("R11", holds(eligible) | F.col("category").isin(*CATEGORIES), "incomplete probe requires failure category"),
-        ("R12", F.col("requests").isNotNull() & (~holds(eligible) | (F.size("requests") > 0)), "probe requires request telemetry"),
-        ("R14", F.col("requestIds") == linked_ids, "probe requestIds differ from telemetry"),
+         "status and eligibility disagree"),
+        ("R10", ~holds(eligible) | F.col("answer").isNotNull(), "an answered probe has no answer"),
+        ("R11", holds(eligible) | F.col("category").isin(*CATEGORIES), "a failed probe has no known category"),
+        ("R12", F.col("requests").isNotNull() & (~holds(eligible) | (F.size("requests") > 0)), "the probe carries no requests"),
+        ("R14", F.col("requestIds") == linked_ids, "request ids differ from the carried requests"),
     ]))
     parts.append(found(duplicates(captured, KEY), "runId", F.col("probeId"), "R07", "duplicate captured probe"))
     completed = gold.join(lifecycle.filter("status = 'completed'").select("runId"), "runId", "left_semi")
     parts.append(found(completed.join(captured, KEY, "left_anti"), "runId", F.col("probeId"), "R15",
-                       "completed run missing captured probes"))
+                       "a completed run lacks a probe"))
     open_runs = lifecycle.filter(~holds(F.col("status").isin("completed", "terminated")))
-    parts.append(found(open_runs, "runId", F.lit("manifest"), "R16", "run manifest is not finalized"))
+    parts.append(found(open_runs, "runId", F.lit("manifest"), "R16", "the run has no final status"))
     foreign = requests.filter("probeId IS NOT NULL").join(captured, KEY, "left_anti")
-    parts.append(found(foreign, "runId", F.col("requestId"), "R17", "request references unknown or uncaptured probe"))
+    parts.append(found(foreign, "runId", F.col("requestId"), "R17", "the request's probe was not captured"))
     if identities is not None:
         links = linked_requests(captured, identities).filter("problem IS NOT NULL")
         parts.append(links.select(F.lit("R18").alias("ruleId"), F.col("runId").alias("scope"),
@@ -93,22 +93,22 @@ def score_violations(scores, gold, captured, manifests):
     category = F.when(F.col("c").isNull(), "unattempted").otherwise(F.col("c.category"))
     known = F.col("g").isNotNull()
     parts = [flag(rows, "runId", F.coalesce("probeId", F.lit("score")), [
-        ("K01", known, "score archive has an unknown probe"),
+        ("K01", known, "no gold record for the score"),
         ("K02", (F.col("fixtureHash") == F.col("m.fixtureHash")) & (F.col("manifestHash") == F.col("m.manifestHash"))
-         & (F.col("scorerVersion") == F.col("m.scorerVersion")), "score identity mismatch"),
-        ("K03", F.col("eligibleForAccuracy") == eligible, "score eligibility differs from source"),
-        ("K04", F.col("rawAnswer").eqNullSafe(F.col("c.answer")), "score raw answer differs from source"),
-        ("K05", F.col("failureCategory").eqNullSafe(category), "score failure category differs from source"),
-        ("K06", F.col("correct").isNotNull(), "score correctness must be boolean"),
+         & (F.col("scorerVersion") == F.col("m.scorerVersion")), "fixture, manifest or scorer differ from the run's"),
+        ("K03", F.col("eligibleForAccuracy") == eligible, "eligibility differs from the captured probe"),
+        ("K04", F.col("rawAnswer").eqNullSafe(F.col("c.answer")), "answer differs from the captured probe"),
+        ("K05", F.col("failureCategory").eqNullSafe(category), "failure category differs from the captured probe"),
+        ("K06", F.col("correct").isNotNull(), "correctness is missing"),
         ("K07", eligible | ((method == "not-scored") & (judgment == "incomplete") & ~F.col("correct")
                             & F.col("normalizedAnswer").isNull() & F.col("judgeOutput").isNull()),
-         "incomplete probe cannot be scored"),
-        ("K08", ~eligible | ((method == F.col("g.matchType")) & judgment.isin(*JUDGMENTS)), "matching method or judgment malformed"),
+         "an unanswered probe carries a judgment"),
+        ("K08", ~eligible | ((method == F.col("g.matchType")) & judgment.isin(*JUDGMENTS)), "method or judgment outside its domain"),
         ("K09", ~eligible | (F.col("judgeOutput").isNotNull() == holds(semantic)), "judge output belongs to semantic scores only"),
-        ("K10", ~eligible | (F.col("correct") == right), "correctness disagrees with judgment/answerability"),
+        ("K10", ~eligible | (F.col("correct") == right), "correctness does not follow from the judgment"),
     ])]
-    parts.append(found(duplicates(scores, KEY), "runId", F.col("probeId"), "K01", "score archive has a duplicate probe"))
-    parts.append(found(gold.join(scores, KEY, "left_anti"), "runId", F.col("probeId"), "K11", "score archive is missing a fixture probe"))
+    parts.append(found(duplicates(scores, KEY), "runId", F.col("probeId"), "K01", "a probe is scored twice"))
+    parts.append(found(gold.join(scores, KEY, "left_anti"), "runId", F.col("probeId"), "K11", "a gold probe has no score"))
     return all_of(parts)
 
 
@@ -128,21 +128,21 @@ def calibration_violations(rows, reviews, headers):
         return condition
     parts = [flag(headers, "calibrationSetId", F.lit("header"), [
         ("C01", (F.col("manifestSchemaVersion") == "calibration-manifest-1.0") & (F.col("schemaVersion") == "calibration-1.0")
-         & F.col("frozen"), "unsupported schema version or corpus is not frozen"),
+         & F.col("frozen"), "version unknown or corpus not frozen"),
         ("C02", (F.col("manifestSetId") == F.col("calibrationSetId")) & (F.col("reviewSetId") == F.col("calibrationSetId"))
          & (F.col("manifestSetVersion") == F.col("calibrationSetVersion")), "set identity must agree"),
         ("C03", text("retainedWithScorerVersion", "frozenAt", "labelingMethod", "reviewMethod", "reviewedAt"), "header texts required"),
         ("C04", F.col("requiredAgreement") == 0.95, "gate requires 95% agreement"),
         ("C05", (F.col("declaredProbesHash") == F.col("probesHash")) & (F.col("declaredReviewHash") == F.col("reviewHash"))
          & (F.col("reviewProbesHash") == F.col("probesHash")), "frozen SHA-256 hash mismatch"),
-        ("C06", F.col("result") == "passed", "every frozen label must have a passed review record"),
+        ("C06", F.col("result") == "passed", "the review did not pass"),
     ])]
     balance = strata(rows.withColumn("matchType", F.col("expected.matchType")))
     parts.append(flag(balance, "calibrationSetId", F.lit("strata"), [
         ("C07", F.col("sizeOk"), "require 90..110 rows"),
-        ("C08", F.col("abilitiesOk"), "each of the five abilities requires at least 10 rows"),
-        ("C09", F.col("matchTypesOk"), "all five match types must be present"),
-        ("C10", F.col("semanticOk"), "semantic proportion requires at least 30%"),
+        ("C08", F.col("abilitiesOk"), "fewer than ten rows of an ability"),
+        ("C09", F.col("matchTypesOk"), "a match type is missing"),
+        ("C10", F.col("semanticOk"), "fewer than 30 % semantic rows"),
     ]))
     parts.append(found(duplicates(rows, ["calibrationSetId", "probeId"]), "calibrationSetId", F.col("probeId"), "C11", "duplicate probe id"))
 
@@ -170,7 +170,7 @@ def calibration_violations(rows, reviews, headers):
          & (F.size(F.array_distinct(required)) == F.size(required)) & (F.size(F.array_distinct(forbidden)) == F.size(forbidden)),
          "unknown or duplicate evidence ids"),
         ("C20", ~F.arrays_overlap(required, forbidden), "required and forbidden facts overlap"),
-        ("C21", (F.col("answerAsOf") != "current") | (F.size(stale) == 0), "current answers require active facts"),
+        ("C21", (F.col("answerAsOf") != "current") | (F.size(stale) == 0), "a current answer rests on a fact that ended"),
         ("C22", (kind != "semantic") | (~blank(F.col("expected.rubric")) & (F.size("expected.requiredClaims") > 0)
                                         & F.col("expected.disallowedContradictions").isNotNull()), "semantic: rubric and claims required"),
         ("C23", (kind != "numeric") | ((F.col("expected.toleranceMode") == "absolute-inclusive")

@@ -124,12 +124,12 @@ def request_violations(rows, key, request="request"):
             calls, lambda c: (c["id"] == m["callId"]) & (c["i"] < m["i"]))).otherwise(~m["hasCallId"]))
          & (F.size(F.array_distinct(result_ids)) == F.size(results)), "messages: tool result without one preceding call"),
         ("E09", _absent_or(r, "$.toolCalls", _calls_ok(top_calls) & holds(F.forall(top_calls, lambda t: F.exists(
-            calls, lambda c: _same(c["v"], t))))), "toolCalls: missing or conflicting message linkage"),
+            calls, lambda c: _same(c["v"], t))))), "toolCalls differ from those of the messages"),
         ("E10", _absent_or(r, "$.toolResults", holds(F.forall(top_results, lambda e: J.only_keys(e, ("toolCallId", "result"))
                                                              & _named(e, "$.toolCallId") & J.at(e, "$.result").isNotNull()
                                                              & _linked_result(e)))
                            & holds(F.size(F.array_distinct(top_ids)) == F.size(top_ids))),
-         "toolResults: missing, ambiguous or conflicting message linkage"),
+         "toolResults differ from those of the messages"),
         ("E11", _absent_or(r, "$.tools", holds(F.forall(tool_list, lambda t: J.only_keys(t, ("name", "description", "parameters"))
                                                         & _named(t, "$.name") & J.is_type(J.at(t, "$.description"), "STRING")
                                                         & J.is_type(J.at(t, "$.parameters"), "OBJECT")))
@@ -140,7 +140,7 @@ def request_violations(rows, key, request="request"):
          "tierSegments: fields, tier, content or tokenCount"),
         ("E13", F.forall(segments, lambda s: _absent_or(s, "$.sourceIds", _strings(J.elements(s, "$.sourceIds")))),
          "tierSegments: sourceIds"),
-        ("E14", F.forall(segments, attributed), "tierSegments: invalid or missing native attribution"),
+        ("E14", F.forall(segments, attributed), "a segment maps to no message or tool of the request"),
     ])
 
 
@@ -182,11 +182,11 @@ def attribution_violations(rows, key, request="request", prefix="stablePrefix"):
                 & (at["role"] == "system") & (at["content"].try_cast("string") == F.get(p, x["i"])))
     return flag(rows, key, F.coalesce(_text(r, "$.requestId"), F.lit("request")), [
         ("E17", F.when(F.size(messages) > 0, gathered("messageIndices", "bigint")
-                       == F.transform(messages, lambda m: m["i"].cast("bigint"))), "every message must be attributed exactly once"),
-        ("E17", gathered("toolNames", "string") == F.array_sort("_tools"), "every tool must be attributed exactly once"),
+                       == F.transform(messages, lambda m: m["i"].cast("bigint"))), "segments cover each message once"),
+        ("E17", gathered("toolNames", "string") == F.array_sort("_tools"), "segments cover each tool once"),
         ("E17", (F.transform(stable, lambda s: _text(s, "$.content")) == p)
-         & F.forall(leading, lambda s: _text(s, "$.tier") == "stable"), "stable prefix changed or is not the request prefix"),
-        ("E17", F.forall(numbered, real), "stable prefix must match the actual first system messages"),
+         & F.forall(leading, lambda s: _text(s, "$.tier") == "stable"), "stable segments are not the run's prefix"),
+        ("E17", F.forall(numbered, real), "the first system messages are not the prefix"),
     ])
 
 
@@ -196,7 +196,7 @@ def pinning_violations(rows, key, request="request", model="model"):
     return flag(rows, key, F.coalesce(_text(r, "$.requestId"), F.lit("request")), [
         ("E18", _same(J.at(r, "$.model"), m) & _same(J.at(r, "$.decodingSettings"), J.at(m, "$.decoding"))
          & F.to_json(J.at(r, "$.seed")).eqNullSafe(F.to_json(J.at(m, "$.seed"))),
-         "native request changed pinned model, decodingSettings or seed")])
+         "model, decoding or seed differ from the run's")])
 
 
 def input_violations(rows, key, kind, value="value"):

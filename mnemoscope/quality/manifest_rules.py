@@ -89,7 +89,7 @@ def _identity_rules(m):
          & m.is_type("model.decoding", "OBJECT"), "model must be pinned"),
         ("M07", m.number("rateLimitRpm", True) & m.number("probeTimeoutSeconds", True),
          "rateLimitRpm, probeTimeoutSeconds: positive finite numbers required"),
-        ("M08", m.stamp("timestamp"), "timestamp: ISO timestamp with timezone required"),
+        ("M08", m.stamp("timestamp"), "timestamp needs ISO form and a zone"),
     ]
 
 
@@ -123,7 +123,7 @@ def run_manifest_violations(manifests, fixtures):
         ("M13", m.at("configHash", "string") == F.col("_config"), "configuration hash mismatch"),
         ("M14", m.at("stablePrefixHash", "string") == F.col("_prefix"), "stable prefix hash mismatch"),
         ("M15", ~m.has("concurrency") | _concurrency(m), "concurrency: solo/1 or concurrent/positive integer"),
-        ("M16", F.to_json("m") == F.to_json(J.strict(F.col("_clean"))), "manifest contains credentials"),
+        ("M16", F.to_json("m") == F.to_json(J.strict(F.col("_clean"))), "a credential stands in the manifest"),
     ])
 
 
@@ -207,7 +207,7 @@ def report_manifest_violations(manifests):
         ("M00", F.col("m").isNotNull(), "manifest: strict JSON required"),
         ("M20", F.size(missing_fields(F.col("m"))) == 0, "report manifest missing fields"),
         *_identity_rules(m),
-        ("M21", m.at("schemaVersion", "string") == REPORT_VERSION, "unsupported report schemaVersion"),
+        ("M21", m.at("schemaVersion", "string") == REPORT_VERSION, "another report version"),
         ("M22", m.text("fixtureId") & m.text("generatorVersion") & m.text("scorerVersion") & m.text("sourceScorerVersion"),
          "identity strings required"),
         ("M23", identity_hashes, "SHA-256 required"),
@@ -215,46 +215,46 @@ def report_manifest_violations(manifests):
         ("M25", m.is_type("seed", "INTEGER") & m.is_type("fixtureSeed", "INTEGER") & m.integer("sessionCount", 1),
          "seed, fixtureSeed, sessionCount: integers required"),
         ("M26", J.only_keys(m.at("runtime"), ("name", "revision")) & (m.json("runtime.name") == m.json("adapter.name"))
-         & (m.json("runtime.revision") == m.json("adapter.revision")), "runtime must identify adapter name/revision"),
+         & (m.json("runtime.revision") == m.json("adapter.revision")), "runtime is not the adapter"),
         ("M27", m.text("tokenizer.name") & m.text("tokenizer.version")
          & (~m.has("tokenizer.requestOverheadTokens") | m.integer("tokenizer.requestOverheadTokens")), "tokenizer"),
         ("M28", m.is_type("model.deterministic", "BOOLEAN", "NULL"), "model.deterministic: boolean or null required"),
         ("M29", m.is_type("providerVersionPinned", "BOOLEAN", "NULL") & (pinned == declared),
-         "providerVersionPinned differs from declared model guarantee"),
+         "pinning differs from the model's own statement"),
         ("M30", _concurrency(m), "concurrency: solo/1 or concurrent/positive integer"),
-        ("M31", holds(full) & holds(no_more), "sourceConfiguration: complete runner configuration required"),
-        ("M32", m.at("configHash", "string") == F.col("_source"), "sourceConfiguration/configHash mismatch"),
-        ("M33", same_config, "report/source configuration mismatch"),
+        ("M31", holds(full) & holds(no_more), "the copied run configuration has other fields"),
+        ("M32", m.at("configHash", "string") == F.col("_source"), "configHash is not that of the copied configuration"),
+        ("M33", same_config, "report and copied configuration disagree"),
         ("M34", m.at("stablePrefixHash", "string") == F.col("_prefix"), "stablePrefixHash mismatch"),
-        ("M35", results.at("status", "string").isin("completed", "terminated"), "results: finalized runner results required"),
+        ("M35", results.at("status", "string").isin("completed", "terminated"), "results carry no final status"),
         ("M36", counts_ok & results.is_type("valid", "BOOLEAN") & results.is_type("investigationRequired", "BOOLEAN"),
          "results: counts and flags required"),
         ("M37", (n("answeredCount") + n("unattemptedCount") <= n("totalCount"))
-         & (n("accuracyDenominator") == n("answeredCount")), "results: inconsistent probe counts"),
-        ("M38", n("lastCompletedSession") <= m.at("sessionCount", "bigint"), "lastCompletedSession exceeds sessionCount"),
+         & (n("accuracyDenominator") == n("answeredCount")), "probe counts do not add up"),
+        ("M38", n("lastCompletedSession") <= m.at("sessionCount", "bigint"), "more sessions completed than there are"),
         ("M39", (failed + n("answeredCount") + n("unattemptedCount") == n("totalCount"))
-         & (n("incompleteCount") == incomplete), "results: inconsistent failure accounting"),
+         & (n("incompleteCount") == incomplete), "failures do not add up"),
         ("M40", results.at("completionRate", "double") == F.coalesce(ratio(n("answeredCount"), n("totalCount")), F.lit(1.0)),
-         "completionRate differs from probe counts"),
+         "completionRate is not answered over total"),
         ("M41", results.at("investigationRequired", "boolean") == F.coalesce(
-            ratio(n("incompleteCount"), n("totalCount")) > 0.05, F.lit(False)), "investigationRequired differs from incomplete rate"),
+            ratio(n("incompleteCount"), n("totalCount")) > 0.05, F.lit(False)), "investigationRequired does not follow from the rate"),
         ("M42", (F.size(totals) == n("requestCount")) & F.forall(totals, total_ok)
          & (F.size(F.array_distinct(ids)) == F.size(ids)), "everyRequestTierTotals"),
         ("M43", m.number("actualRunTimeSeconds") & F.when(elapsed == 0, rate_null).otherwise(close),
-         "effective throughput differs from request count/runtime"),
+         "throughput is not requests over seconds"),
         ("M44", m.integer("artifactSizeBytes") & (warnings == footprint_warnings(m.at("artifactSizeBytes", "bigint"))),
-         "warnings differ from footprint policy"),
+         "warnings do not follow from the size"),
         ("M45", m.is_type("recovery.resumed", "BOOLEAN") & m.integer("recovery.checkpointSession")
          & m.integer("recovery.nextSession") & (~m.has("recovery.interruption") | m.stamp("recovery.interruption.timestamp")),
          "recovery metadata"),
         ("M46", F.forall(history, entry_ok), "interruptionResumeHistory"),
         ("M47", m.is_type("canonical", "BOOLEAN"), "canonical: boolean required"),
-        ("M48", J.only_keys(m.at("calibrationHashes"), CALIBRATION_FILES) & hashes_ok, "complete frozen calibration hashes required"),
+        ("M48", J.only_keys(m.at("calibrationHashes"), CALIBRATION_FILES) & hashes_ok, "hashes of the three calibration files"),
         ("M49", m.at("calibration.approved", "boolean") & (m.json("calibration.calibrationHashes") == m.json("calibrationHashes"))
          & (m.json("calibration.scorerVersion") == m.json("scorerVersion")), "calibration identity mismatch"),
-        ("M50", m.is_type("judge", "NULL") | judge_ok, "judge: pinned configuration or null required"),
+        ("M50", m.is_type("judge", "NULL") | judge_ok, "judge is neither null nor fully pinned"),
         ("M51", m.at("scoringHash", "string") == F.col("_scoring"), "scoringHash mismatch"),
-        ("M52", artifacts_ok, "complete artifact hashes required"),
+        ("M52", artifacts_ok, "hashes of the four artifacts"),
     ])
 
 
@@ -268,4 +268,4 @@ def count_violations(manifests, counts):
     declared = manifests.select("runId", F.struct(*names).alias("_declared"))
     rows = declared.join(actual, "runId", "left")
     return all_of([found(rows.filter(~F.col(f"_actual.{c}").eqNullSafe(F.col(f"_declared.{c}"))), "runId",
-                         F.lit(c), "R13", "manifest counts differ from archive") for c in names])
+                         F.lit(c), "R13", "declared and archived counts differ") for c in names])

@@ -27,38 +27,36 @@ def build_session(app="mnemoscope", master=None, **conf):
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` in the shared checkpoint folder.
+def _shared_folder(spark, name):
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A temporary folder is used
-    only by a local session that names none, as in tests: on a cluster it would not survive the loss
-    of an executor.
+    A temporary folder stands in only for a local session that names none, as in tests: on a cluster it
+    would not survive the loss of an executor.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
+        folder = tempfile.mkdtemp(prefix=f"mnemoscope-{name}-")
+    return folder
+
+
+def checkpointed(df):
+    """Cut the lineage of ``df`` in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
-            folder = tempfile.mkdtemp(prefix="mnemoscope-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 
+def scratch_folder(spark, name):
+    """A fresh folder for tables a job writes and reads back, under the shared checkpoint folder."""
+    return f"{_shared_folder(spark, 'scratch')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialized(df, name):
     """Write a table to the shared scratch folder and read it back: later readers scan only the columns
     they need, and nothing is computed again."""
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def scratch_folder(spark, name):
-    """A fresh folder for tables a job writes and reads back, under the shared checkpoint folder."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
-        base = tempfile.mkdtemp(prefix="mnemoscope-scratch-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"

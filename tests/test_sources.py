@@ -188,3 +188,46 @@ def test_request_identity_ignores_claimed_counts_only(spark):
     assert ids[0] == ids[1] != ids[2]
     full = spark.createDataFrame([("r", 1, "ok")], "runId string, totalTokens int, status string")
     assert A.archived_request(full).columns == ["runId", "totalTokens"]
+
+
+def test_split_and_canonical_writes(spark, tmp_path):
+    from mnemoscope.operators import generate as G
+    from mnemoscope.sources import fixture_json
+    documents = fixture_json.to_documents(G.generate(spark.createDataFrame([(3, 10)], "seed long, scale int")))
+    fixture_json.write_split(documents, str(tmp_path / "agent"), str(tmp_path / "scorer"))
+    agent = json.loads(spark.read.text(str(tmp_path / "agent")).first().value)
+    assert set(agent) == {"fixtureId", "sessions", "probes"} and set(agent["sessions"][0]["turns"][0]) == {"turnId", "role", "text"}
+    assert set(agent["probes"][0]) == {"probeId", "afterSessionId", "question"}
+    view = spark.read.text(str(tmp_path / "agent")).withColumn("id", F.lit(1))
+    assert X.leaking_rows(view, "id", "value").isEmpty()
+    publish.write_canonical(spark.createDataFrame([(2, None, "é")], "b int, a string, c string"), str(tmp_path / "rows"))
+    assert spark.read.text(str(tmp_path / "rows")).first().value == '{"a":null,"b":2,"c":"é"}'
+
+
+def test_declared_counts_against_the_archive(spark):
+    from mnemoscope.quality.manifest_rules import count_violations
+    columns = "runId string, totalCount int, answeredCount int, unattemptedCount int, requestCount int"
+    declared = spark.createDataFrame([("a", 4, 2, 1, 9), ("b", 4, 2, 1, 9), ("ghost", 1, 1, 1, 1)], columns)
+    actual = spark.createDataFrame([("a", 4, 2, 1, 9), ("b", 4, 3, 1, 8)], columns)
+    rows = {(r.scope, r.path) for r in count_violations(declared, actual).collect()}
+    assert rows == {("b", "answeredCount"), ("b", "requestCount")} | {("ghost", c) for c in ("totalCount", "answeredCount", "unattemptedCount", "requestCount")}
+
+
+def test_segment_tokens_count_mapped_fragments(spark):
+    segment = "array<struct<messageIndices:array<int>, toolNames:array<string>, tokenCount:bigint>>"
+    rows = spark.createDataFrame([([([0, 1], None, 0), (None, ["t"], 0), ([1], ["t"], 7)], ["{1}", "{22}"], {"t": "{333}"})],
+                                 f"segments {segment}, messages array<string>, tools map<string,string>")
+    counted = rows.select(A.attribute_tokens(F.col("segments"), F.col("messages"), F.col("tools")).alias("s")).first().s
+    assert [s.tokenCount for s in counted] == [len("[{1},{22}]"), len("[{333}]"), len("[{22},{333}]")]
+
+
+def test_retry_policy(spark):
+    history = "array<struct<attempt:int, status:string, backoffSeconds:double, rateWaitSeconds:double>>"
+    rows = spark.createDataFrame([
+        ("ok", 3, [(1, "429", 1.0, None), (2, "503", 2.0, 3.0), (3, "ok", None, None)]), ("final", 2, [(1, "500", 1.0, None), (2, "ok", None, None)]),
+        ("many", 5, [(i, "429", float(2 ** (i - 1)), None) for i in range(1, 5)] + [(5, "ok", None, None)]), ("short", 2, [(1, "429", 3.0, None), (2, "ok", None, None)]),
+        ("edge", 2, [(1, "429", 1.0, 29.0), (2, "ok", None, None)]), ("long", 2, [(1, "429", 1.0, 29.1), (2, "ok", None, None)]), ("count", 1, [(1, "429", 1.0, None), (2, "ok", None, None)])],
+        f"requestId string, attempts int, retryHistory {history}").withColumn("runId", F.lit("r"))
+    assert {r.requestId: r.problem for r in A.retry_audit(rows).collect()} == {
+        "ok": None, "final": "a final status was retried", "many": "more than four attempts", "short": "back-off differs from 1, 2, 4 seconds", "edge": None,
+        "long": "retry wait above 30 seconds", "count": "attempts differ from history"}
