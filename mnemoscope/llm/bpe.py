@@ -11,8 +11,10 @@ States and transitions are made when first met and are forgotten beyond a fixed
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -57,6 +59,56 @@ class Splitter:
         return self.narrow(text)
 
 
+class Merges:
+    """What merging does at the borders of tokens.  ranks: token (bytes or text) to rank, lowest first."""
+
+    def __init__(self, ranks):
+        self.ranks, self.never = ranks, max(ranks.values()) + 1
+        self.right_edges = Memo(lambda token: self._edges(token, -1), len(ranks) + 1)
+        self.left_edges = Memo(lambda token: self._edges(token, 0), len(ranks) + 1)
+
+    def _edges(self, token, end):
+        """How the part at one end of a token grows while its symbols merge, lowest rank first and leftmost
+        among equals: (rank of the merge, part at that end after it); None if the merges never make it."""
+        parts, steps = [token[i:i + 1] for i in range(len(token))], []
+        while len(parts) > 1:
+            ranked = [self.ranks.get(a + b, self.never) for a, b in zip(parts, parts[1:])]
+            lowest = min(ranked)
+            if lowest == self.never:
+                return None
+            i = ranked.index(lowest)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            steps.append((lowest, parts[end]))
+        steps.append((self.never, token))
+        return steps
+
+    def apart(self, left, right):
+        """Whether two tokens stay apart when their joined symbols merge: their own merges are replayed side
+        by side in the order of ranks, watching for one across the border that comes first.  Without a left
+        token, whether the merges make the right one at all."""
+        rights = self.left_edges[right]
+        if left is None or rights is None:
+            return rights is not None
+        lefts = self.right_edges[left]
+        if lefts is None:
+            return False
+        i = j = 0
+        before, after = left[-1:], right[:1]
+        while True:
+            across = self.ranks.get(before + after, self.never)
+            on_left, on_right = lefts[i][0], rights[j][0]
+            if across < on_left and across <= on_right and across < self.never:
+                return False
+            if on_left <= on_right:
+                if on_left == self.never:
+                    return True
+                before = lefts[i][1]
+                i += 1
+            else:
+                after = rights[j][1]
+                j += 1
+
+
 class _State(dict):
     """A determinised state: byte to (next state, tokens emitted), filled when a byte first comes."""
 
@@ -74,10 +126,8 @@ class Transducer:
         self.ranks, self.most_states, self.most_checks = ranks, states, checks
         self.proper = {token[:n] for token in ranks for n in range(1, len(token))}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.never = max(ranks.values()) + 1
         self.byte = [bytes((i,)) for i in range(256)]
-        self.right_edges = Memo(lambda token: self._edges(token, -1), len(ranks) + 1)
-        self.left_edges = Memo(lambda token: self._edges(token, 0), len(ranks) + 1)
+        self.merges = Merges(ranks)
         self._forget()
 
     def _forget(self):
@@ -94,50 +144,11 @@ class Transducer:
             state.machine, state.last, state.hypotheses = self, last, hypotheses
         return state
 
-    def _edges(self, token, end):
-        """How the part at one end of a token grows while its bytes merge, lowest rank first and leftmost
-        among equals: (rank of the merge, part at that end after it); None if the merges never make it."""
-        data = self.bytes_of[token]
-        parts, steps = [self.byte[b] for b in data], []
-        while len(parts) > 1:
-            ranked = [self.ranks.get(a + b, self.never) for a, b in zip(parts, parts[1:])]
-            lowest = min(ranked)
-            if lowest == self.never:
-                return None
-            i = ranked.index(lowest)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            steps.append((lowest, parts[end]))
-        steps.append((self.never, data))
-        return steps
-
-    def neighbours(self, left, right):
-        """Whether two tokens stay apart when their joined bytes merge: their own merges are replayed side
-        by side in the order of ranks, watching for one across the border that comes first."""
-        lefts, rights = self.right_edges[left], self.left_edges[right]
-        if lefts is None or rights is None:
-            return False
-        i = j = 0
-        before, after = self.bytes_of[left][-1:], self.bytes_of[right][:1]
-        while True:
-            across = self.ranks.get(before + after, self.never)
-            on_left, on_right = lefts[i][0], rights[j][0]
-            if across < on_left and across <= on_right and across < self.never:
-                return False
-            if on_left <= on_right:
-                if on_left == self.never:
-                    return True
-                before = lefts[i][1]
-                i += 1
-            else:
-                after = rights[j][1]
-                j += 1
-
     def _follows(self, left, right):
         key = (left, right)
         known = self.apart.get(key)
         if known is None:
-            known = self.apart[key] = (self.left_edges[right] is not None if left is None
-                                       else self.neighbours(left, right))
+            known = self.apart[key] = self.merges.apart(self.bytes_of.get(left), self.bytes_of[right])
         return known
 
     def move(self, state, byte):
@@ -240,28 +251,27 @@ class Codec:
 def encode(docs, path, pattern, text="text", ids="token_ids"):
     """Add the token ids of every text as array<int>.  A null or empty text has none.
 
-    ``path`` names the vocabulary file, which every executor must be able to open.
+    ``path`` names the vocabulary file, which every executor must be able to open.  Only the texts go to
+    Python; all rows and other columns stay as they are, and a column named ``ids`` is replaced.
     """
-    schema = docs.drop(ids).withColumn(ids, F.array().cast("array<int>")).schema
-
-    def batches(frames):
+    @F.pandas_udf("array<int>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec.of_worker(path, pattern)
-        for frame in frames:
-            yield frame.assign(**{ids: [codec.encode(t or "") for t in frame[text]]})
+        for texts in batches:
+            yield pd.Series([np.array(codec.encode(t), dtype=np.int32) for t in texts], dtype=object)
 
-    return docs.drop(ids).mapInPandas(batches, schema)
+    return docs.withColumn(ids, encoded(F.coalesce(text, F.lit(""))))
 
 
 def decode(tokens, path, pattern, ids="token_ids", text="decoded"):
     """Add the text that token ids stand for; null ids count as none."""
-    schema = tokens.drop(text).withColumn(text, F.lit("")).schema
-
-    def batches(frames):
+    @F.pandas_udf("string")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec.of_worker(path, pattern)
-        for frame in frames:
-            yield frame.assign(**{text: [codec.decode(() if x is None else x) for x in frame[ids]]})
+        for lists in batches:
+            yield pd.Series([codec.decode(x.tolist()) for x in lists], dtype=object)
 
-    return tokens.drop(text).mapInPandas(batches, schema)
+    return tokens.withColumn(text, decoded(F.coalesce(ids, F.array().cast("array<int>"))))
 
 
 def roundtrip(docs, path, pattern):
@@ -270,21 +280,17 @@ def roundtrip(docs, path, pattern):
     The same codec as ``encode`` and ``decode``, without sending the ids through the JVM.  A null text
     counts as empty and gives no token and the hashes of the empty string.  Other columns are ignored.
     """
-    def batches(frames):
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec.of_worker(path, pattern)
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                pieces = codec.split(text or "")
+        for texts in batches:
+            counts, listed, decoded = [], [], []
+            for text in texts:
+                pieces = codec.split(text)
                 ids = list(chain.from_iterable(map(codec.ids_of.__getitem__, pieces)))
-                listed = " ".join(map(codec.written.__getitem__, pieces))
-                rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(),
-                             hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
-            n, listed, decoded = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": pd.Series(n, dtype="int64"),
-                                "ids_sha256": pd.Series(listed, dtype=object),
-                                "decoded_sha256": pd.Series(decoded, dtype=object)})
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        batches, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                counts.append(len(ids))
+                listed.append(hashlib.sha256(" ".join(map(codec.written.__getitem__, pieces)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+            yield pd.DataFrame({"n_tokens": counts, "ids_sha256": listed, "decoded_sha256": decoded})
+
+    return docs.select("doc_id", digests(F.coalesce("text", F.lit(""))).alias("d")).select("doc_id", "d.*")

@@ -3,10 +3,22 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mnemoscope.llm import bpe, line_dedup, mixing
+from mnemoscope.llm import (
+    bpe, fingerprints, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts, toxicity)
 from mnemoscope.llm.catalog import ORACLES, QUERIES, documents, labels, query  # noqa: F401
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
+
+
+@query("op1_pii")
+def op1(spark, folder):
+    """Personal data in every document."""
+    found = pii.find(documents(spark, folder).select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base_spans, s -> s.kind = '{kind}')) as bigint) AS n_{kind}")
+              for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"),
+                        pii.listed(F.col("pii_spans")).alias("spans"))
 
 
 @query("op2_byte_bpe")
@@ -15,6 +27,14 @@ def op2(spark, folder):
     return bpe.roundtrip(documents(spark, folder), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@query("op3_quality_rules")
+def op3(spark, folder):
+    """Statistics of every document and what the base rules and the learned decision list say of it."""
+    rows = documents(spark, folder).select("doc_id", "text")
+    judged = quality_rules.judge(rows, quality_rules.fit(rows, labels(spark, folder)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 @query("op4_mixing")
 def op4(spark, folder):
     """How many words of every document the mix takes, and how often it goes to which output shards."""
@@ -24,6 +44,15 @@ def op4(spark, folder):
                        F.expr("transform(draws, d -> d.shard)").alias("shards"))
 
 
+@query("op5_toxicity")
+def op5(spark, folder):
+    """Toxicity of every document, learned from the labelled rows whose crc32 mod 4 is not 2."""
+    rows = documents(spark, folder).select("doc_id", "text")
+    scored = toxicity.fit(rows, labels(spark, folder)).transform(rows, keep=["doc_id"])
+    return scored.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out"),
+                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op6_line_dedup", sql=r"""
     WITH lines AS (
       SELECT doc_id, n, key, line FROM (
@@ -41,3 +70,36 @@ def op6(spark, folder):
     """Every document without the lines that three or more documents share."""
     kept = line_dedup.drop_repeated_lines(documents(spark, folder))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_near_dedup")
+def op7(spark, folder):
+    """The class of near-duplicates of every document, and how many documents it has."""
+    return near_dedup.classes(documents(spark, folder)).select("doc_id", "class_id", "n_docs")
+
+
+@query("op8_fingerprints")
+def op8(spark, folder):
+    """Fingerprints of every document and of its edited text, and how like it and the next document are."""
+    return fingerprints.compare_with_next(documents(spark, folder))
+
+
+@query("op9_token_counts")
+def op9(spark, folder):
+    """Bytes and tokens of every document, from its token counts at all prefixes."""
+    counted = token_counts.prefix_counts(documents(spark, folder).select("doc_id", "text"), public_tokenizers.path(PIECES))
+    return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), "n_tokens",
+                          (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+                          token_counts.longest_within(F.col("prefix_steps"), TOKEN_LIMIT).alias("fitting_chars"))
+
+
+@query("op10_secret_scan")
+def op10(spark, folder):
+    """Secrets in every document."""
+    rows = documents(spark, folder).select("doc_id", "text")
+    forest = secret_scan.fit(secret_scan.hide_neighbours(secret_scan.labelled_findings(rows)))
+    found = secret_scan.scan(rows, forest)
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s.start, s.end)), ",")
+    return found.select("doc_id", F.size("candidates").cast("bigint").alias("n_candidates"),
+                        F.size("secrets").cast("bigint").alias("n_secrets"), spans.alias("secrets"),
+                        F.coalesce(F.array_max(F.transform("candidates", lambda s: s.score)), F.lit(0.0)).alias("top_score"))
