@@ -11,7 +11,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,9 +60,11 @@ def _parse(names, first):
     for _ in range(4):
         labels = _toss(labels, first)
     labels = labels.astype(np.int8)
-    cut = np.zeros(len(symbols), bool)
-    if len(symbols) > 2:
-        cut[1:-1] = (labels[1:-1] > labels[:-2]) & (labels[1:-1] > labels[2:])
+    after = np.empty_like(labels)
+    after[:-1] = labels[1:]
+    after[np.append(first[1:], len(symbols)) - 1] = 127  # nothing begins at a text's last symbol
+    cut = labels > after
+    cut[1:] &= labels[1:] > labels[:-1]
     cut[first] = True
     starts = np.flatnonzero(cut)
     within = np.arange(len(symbols)) - np.repeat(starts, np.diff(starts, append=len(symbols)))
@@ -121,10 +122,10 @@ def likeness(a, b):
 
 def fingerprints(docs, text="text"):
     """Add ``fingerprint``; null and empty texts have sixteen zeros.  All rows and other columns stay."""
-    @F.pandas_udf("string")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(fingerprint_many(list(texts)), dtype=object)
+            yield pa.array(fingerprint_many(texts.to_pylist()), pa.string())
 
     return docs.withColumn("fingerprint", found(F.coalesce(text, F.lit(""))))
 

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from mnemoscope.llm.frames import packed, unpacked
 from mnemoscope.llm.skew import counted_join
 from mnemoscope.session import materialized, scratch_folder
 
@@ -84,7 +85,8 @@ class LineRuns:
         """Merge runs into one of another level and drop them."""
         # Read as plain files: a union of bucketed tables passes for partitioned by bucket in Spark 4.1, and
         # an aggregation on top of it would leave equal hashes apart.
-        files = self.spark.read.parquet(*[f"{self.folder}/{name.split('.')[1]}" for name in names])
+        layout = self.spark.table(names[0]).schema
+        files = self.spark.read.schema(layout).parquet(*[f"{self.folder}/{name.split('.')[1]}" for name in names])
         run = self._write(files.groupBy(*HASH).agg(
             F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"), F.max("first_seen").alias("first_seen")))
         for name in list(names):
@@ -124,15 +126,12 @@ def drop_repeated_lines(docs, min_chars=20, min_docs=3, batches=4, fanout=4):
                .filter("NOT (doc_id <=> holder)").groupBy("doc_id", "text_key")
                .agg(F.collect_set("pos").alias("gone")))
     dropped = dropped.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
-    packed = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_text"),
-                         F.col("doc_id").alias("_doc"))
-    keyed = packed.withColumn("_text_key", F.xxhash64("_text"))
+    rows = packed(docs, _text=F.coalesce("text", F.lit("")), _doc=F.col("doc_id"))
+    keyed = rows.withColumn("_text_key", F.xxhash64("_text"))
     joined = keyed.join(dropped, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     parts = F.split("_text", "\n", -1)
     kept = F.array_join(F.expr(r"transform(array_except(sequence(1, size(_lines)), gone), p -> _lines[p - 1])"), "\n")
-    out = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    return (joined.withColumn("_lines", parts)
-            .select(*[F.col("_row")[c].alias(c) for c in out],
-                    F.size("_lines").cast("bigint").alias("n_lines"),
-                    F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
-                    F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("kept_text")))
+    rows = joined.withColumn("_lines", parts)
+    return unpacked(rows, docs.columns, n_lines=F.size("_lines").cast("bigint"),
+                    n_dropped=F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
+                    kept_text=F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept))

@@ -13,6 +13,7 @@ Only DataFrame and SQL expressions are used.  Draws come from hashes, so reruns
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemoscope.llm.frames import packed
 from mnemoscope.operators.scans import range_blocks, running
 from mnemoscope.session import materialized
 
@@ -184,14 +185,13 @@ def plan_mix(docs, weights=(1, 2, 3), cap=CAP, shards=16, block_words=100_000, s
 def mix(docs, shards=16, seed=0, **options):
     """The mix itself: the rows of ``docs``, each as often as it is drawn, dealt to shards and shuffled
     inside them.  Columns are those of ``docs``; documents that are not drawn are not there."""
-    packed = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
-    plan = plan_mix(packed, shards=shards, seed=seed, **options)
+    plan = plan_mix(docs.select("doc_id", "source", "text"), shards=shards, seed=seed, **options)
     draws = plan.filter("size(draws) > 0").select(
         F.col("doc_id").alias("_id"), "source_key", "draws", "place").dropDuplicates(["_id", "source_key"])
     key = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    joined = packed.withColumn("source_key", key).join(
-        draws, packed["doc_id"].eqNullSafe(draws["_id"]) & (F.col("source_key") == draws["source_key"]))
-    placed = joined.select("_row", F.explode(F.col("draws")).alias("draw"), "place")
-    shuffled = F.xxhash64(F.lit(seed), F.col("draw.shard"), F.col("draw.pass"), "place")
-    return (placed.withColumn("turn", shuffled).withColumn("shard", F.col("draw.shard"))
+    rows = packed(docs, _doc=F.col("doc_id"), _source=key)
+    joined = rows.join(draws, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_source") == F.col("source_key")))
+    placed = joined.select("_row", F.explode("draws").alias("draw"), "place")
+    turn = F.xxhash64(F.lit(seed), F.col("draw.shard"), F.col("draw.pass"), "place")
+    return (placed.select("_row", turn.alias("turn"), F.col("draw.shard").alias("shard"))
             .repartition(F.col("shard")).sortWithinPartitions("shard", "turn").select("_row.*"))

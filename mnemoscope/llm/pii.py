@@ -7,6 +7,8 @@ never tries the same characters again, however long a run of letters, digits or
 
 from pyspark.sql import functions as F
 
+from mnemoscope.llm.frames import packed, unpacked
+
 # Possessive forms of the base patterns; the looks behind only skip starts that must fail like the first.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -29,7 +31,7 @@ DOUBT = r"version|release|isbn|build|serial|order|invoice|example|test"
 WINDOW = 40  # code points before a span that are read for context words
 
 
-def _matches(text, pattern, possible):
+def matches(text, pattern, possible):
     """All leftmost matches as an array of (start, end, value) in code points, end exclusive."""
     found = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
@@ -85,11 +87,11 @@ def _scored(text, spans, kind):
 def base_spans(text):
     """{kind: array of (start, end, value)} of the confirmed base spans of a text column."""
     has_digit = text.rlike("[0-9]")
-    emails = _matches(text, EMAIL, F.contains(text, F.lit("@")))
-    ips = F.filter(_matches(text, IP, text.rlike(r"[0-9]\.[0-9]")), lambda s: F.forall(
+    emails = matches(text, EMAIL, F.contains(text, F.lit("@")))
+    ips = F.filter(matches(text, IP, text.rlike(r"[0-9]\.[0-9]")), lambda s: F.forall(
         F.split(s.value, r"\."), _at_most_255))
-    cards = F.filter(_matches(text, CARD, has_digit), lambda s: F.length(_digits(s.value)).between(16, 19) & luhn(_digits(s.value)))
-    phones = F.filter(_matches(text, PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s.value)).between(8, 15))
+    cards = F.filter(matches(text, CARD, has_digit), lambda s: F.length(_digits(s.value)).between(16, 19) & luhn(_digits(s.value)))
+    phones = F.filter(matches(text, PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s.value)).between(8, 15))
     return {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
 
@@ -108,10 +110,10 @@ def find(docs, text="text"):
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     base = base_spans(whole)
-    accounts = F.filter(_matches(whole, IBAN, whole.rlike("[A-Z]{2}[0-9]{2}")), lambda s: mod97(s.value))
+    accounts = F.filter(matches(whole, IBAN, whole.rlike("[A-Z]{2}[0-9]{2}")), lambda s: mod97(s.value))
     first = F.concat(*[_scored(whole, spans, kind) for kind, spans in base.items()])
-    return docs.withColumn("base_spans", first).withColumn(
-        "pii_spans", F.concat(F.col("base_spans"), _scored(whole, accounts, "iban")))
+    rows = packed(docs, _base=first, _more=_scored(whole, accounts, "iban"))
+    return unpacked(rows, docs.columns, base_spans=F.col("_base"), pii_spans=F.concat("_base", "_more"))
 
 
 def redact(docs, text="text", least=0.5):
@@ -126,8 +128,10 @@ def redact(docs, text="text", least=0.5):
     cut = F.aggregate(chosen, start, lambda s, p: F.when(p.end <= s.at, s).otherwise(F.struct(
         p.end.alias("at"), F.concat(s.out, F.substring(whole, s.at.cast("int") + 1, F.greatest(p.start - s.at, F.lit(0)).cast("int")),
                                     F.lit("["), p.kind, F.lit("]")).alias("out"))))
-    return find(docs, text).withColumn("_cut", cut).withColumn(
-        "redacted", F.concat(F.col("_cut.out"), F.substring(whole, F.col("_cut.at").cast("int") + 1, F.char_length(whole)))).drop("_cut")
+    found = find(docs, text)
+    rows = packed(found, _text=whole, _cut=cut)
+    rest = F.substring(F.col("_text"), F.col("_cut.at").cast("int") + 1, F.char_length("_text"))
+    return unpacked(rows, found.columns, redacted=F.concat(F.col("_cut.out"), rest))
 
 
 def listed(spans):

@@ -9,11 +9,11 @@ covers are then set aside.  The list becomes one ordered CASE expression over th
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from mnemoscope.llm.frames import packed, unpacked
 from mnemoscope.llm.toxicity import labelled_sample
-from mnemoscope.llm.worker import Memo
 from mnemoscope.session import materialized
 
 WINDOW = 8
@@ -69,26 +69,31 @@ def _stats(text, number):
             sum(map(text.count, "0123456789")), text.count("!") + text.count("?"))
 
 
+class _Numbers(dict):
+    """A number for each word that is looked up."""
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        return number
+
+
 def statistics(text):
     """A struct of the STATS of a text column, all long; null and empty texts give zeros and one line.
 
     n_words: runs of other characters than blanks; word_chars: their code points; n_dup_lines: lines with a word equal to an
     earlier line; n_repeat_words: words in eight-word windows that the text has at least twice.
     """
-    @F.pandas_udf(", ".join(f"{s} bigint" for s in STATS))
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        count = iter(range(1 << 62))
-        # A word that comes again after the memo started over gets another number, but never within one text's
-        # look-ups: the memo starts over only between texts.
-        number = Memo(lambda word: next(count), 1 << 62)
+    @F.arrow_udf(", ".join(f"{s} bigint" for s in STATS))
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        number = _Numbers()
         for texts in batches:
             rows = []
             for text in texts:
-                if len(number) > 1_000_000:
-                    number.clear()
-                    count = iter(range(1 << 62))
-                rows.append(_stats(text, number))
-            yield pd.DataFrame(rows, columns=STATS, dtype="int64")
+                if len(number) > 300_000:  # between texts only: numbers must agree within one
+                    number = _Numbers()
+                rows.append(_stats(text.as_py(), number))
+            table = np.array(rows, np.int64).reshape(-1, len(STATS))
+            yield pa.StructArray.from_arrays([pa.array(column) for column in table.T], names=list(STATS))
 
     return counted(F.coalesce(text, F.lit("")))
 
@@ -185,9 +190,9 @@ def judge(docs, rules, min_words=20, repeat_percent=30):
     kept: neither base_failed nor any rule.  Null and empty texts fail.  All rows and other columns stay, but for
     columns with the new names, which are replaced.
     """
-    new = {*STATS, *RATES, "base_failed", "rule", "kept"}
-    others = [c for c in docs.columns if c not in new]
-    stats = docs.select(*others, statistics(F.col("text")).alias("_s")).select(*others, "_s.*")
+    new = (*STATS, "base_failed", "rule", "kept")
+    rows = rates(packed(docs, _s=statistics(F.col("text"))).select("_row", "_s.*"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return (rates(stats).withColumn("base_failed", failed).withColumn("rule", F.expr(as_sql(rules)))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop(*RATES))
+    judged = rows.withColumn("base_failed", failed).withColumn("rule", F.expr(as_sql(rules))).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return unpacked(judged, docs.columns, **{name: F.col(name) for name in new})

@@ -12,7 +12,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from mnemoscope.llm.pii import _matches
+from mnemoscope.llm.frames import packed, unpacked
+from mnemoscope.llm.pii import matches
 from mnemoscope.session import materialized
 
 # At least sixteen token characters; possessive, so a long run is read once.
@@ -54,7 +55,7 @@ def _features(value, before, after):
 
 def candidates(text):
     """All candidates of a text column: array of (start, end, features), positions in code points."""
-    found = _matches(text, CANDIDATE, text.rlike("[A-Za-z0-9_+/-]{16}"))
+    found = matches(text, CANDIDATE, text.rlike("[A-Za-z0-9_+/-]{16}"))
 
     def one(s):
         before = F.substring(text, F.greatest(s.start - BEFORE, F.lit(0)).cast("int") + 1, F.least(s.start, F.lit(BEFORE)).cast("int"))
@@ -128,9 +129,7 @@ def scan(docs, forest, text="text", least=0.5):
     are the candidates whose score reaches ``least``.  Null and empty texts have none; all rows and other
     columns stay."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c not in ("candidates", "secrets")]
-    rows = docs.select(*kept, candidates(whole).alias("_found"))
     scored = F.expr(f"transform(_found, c -> named_struct('start', c.start, 'end', c.end, "
                     f"'score', round(element_at(transform(array(c.features), f -> {forest}), 1), 4)))")
-    return (rows.select(*kept, scored.alias("candidates"))
-            .withColumn("secrets", F.filter("candidates", lambda s: s.score >= least)))
+    rows = packed(docs, _found=candidates(whole)).select("_row", scored.alias("_scored"))
+    return unpacked(rows, docs.columns, candidates=F.col("_scored"), secrets=F.filter("_scored", lambda s: s.score >= least))

@@ -13,15 +13,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mnemoscope.llm.bpe import Merges
+from mnemoscope.llm.frames import packed, unpacked
 from mnemoscope.llm.worker import Memo, per_worker
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-WORDS, CHECKS = 300_000, 400_000  # what a worker remembers at most
+WORDS, CHECKS = 200_000, 150_000  # what a worker remembers at most
 
 
 class PrefixCounter:
@@ -86,38 +87,37 @@ def prefix_counts(docs, path, text="text"):
 
     A null or empty text has no token and no step.  All rows and other columns stay.
     """
-    @F.pandas_udf("n_tokens bigint, prefix_steps binary")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens bigint, prefix_steps binary")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = PrefixCounter.of_worker(path)
         for texts in batches:
-            steps = [counter.steps(t) for t in texts]
-            yield pd.DataFrame({"n_tokens": [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps],
-                                "prefix_steps": steps})
+            steps = [counter.steps(t.as_py()) for t in texts]
+            totals = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
+            yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(steps, pa.binary())], names=["n_tokens", "prefix_steps"])
 
-    kept = [c for c in docs.columns if c not in ("n_tokens", "prefix_steps")]
-    return (docs.select(*kept, counted(F.coalesce(text, F.lit(""))).alias("_counted"))
-            .select(*kept, "_counted.n_tokens", "_counted.prefix_steps"))
+    rows = packed(docs, _counted=counted(F.coalesce(text, F.lit(""))))
+    return unpacked(rows, docs.columns, n_tokens=F.col("_counted.n_tokens"), prefix_steps=F.col("_counted.prefix_steps"))
 
 
 def longest_within(steps, limit):
     """Code points of the longest prefix that has at most ``limit`` tokens, from a column of prefix steps."""
-    @F.pandas_udf("bigint")
-    def longest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def end(steps):
+        within = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= limit)
+        return int(within[-1]) + 1 if len(within) else 0
+
+    @F.arrow_udf("bigint")
+    def longest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            ends = []
-            for s in column:
-                within = np.flatnonzero(np.cumsum(np.frombuffer(s, np.int8), dtype=np.int64) <= limit)
-                ends.append(int(within[-1]) + 1 if len(within) else 0)
-            yield pd.Series(ends, dtype="int64")
+            yield pa.array([end(s.as_buffer()) for s in column], pa.int64())
 
     return longest(F.coalesce(steps, F.lit(b"")))
 
 
 def count_at(steps, position):
     """Token count of the prefix with this many code points, from a column of prefix steps."""
-    @F.pandas_udf("bigint")
-    def at(steps: pd.Series, position: pd.Series) -> pd.Series:
-        return pd.Series([int(np.frombuffer(s, np.int8)[:max(0, p)].sum(dtype=np.int64)) for s, p in zip(steps, position)],
-                         dtype="int64")
+    @F.arrow_udf("bigint")
+    def at(steps: pa.Array, position: pa.Array) -> pa.Array:
+        return pa.array([int(np.frombuffer(s.as_buffer(), np.int8)[:max(0, p.as_py())].sum(dtype=np.int64))
+                         for s, p in zip(steps, position)], pa.int64())
 
-    return at(F.coalesce(steps, F.lit(b"")), position)
+    return at(F.coalesce(steps, F.lit(b"")), F.coalesce(position, F.lit(0)).cast("int"))

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features of a text, with isotonic calibration.
 
 Features are lexicon densities, closeness of lexicon words to the second person, capitals, punctuation and
-obfuscation rates, taken from the whole text in one Arrow pass.  The lexicon is a fixed list plus words that
+obfuscation rates, taken from the whole text in one Arrow pass.  The lexicon is a fixed list plus word stems that
 the labelled sample shows to be toxic.  Trees are fitted on one part of the labelled rows, calibration on
 another; both are Spark ML models, so scores are computed in the JVM.
 """
@@ -10,12 +10,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
+from mnemoscope.llm.frames import unpacked
 from mnemoscope.llm.worker import Memo
 from mnemoscope.session import materialized
 
@@ -49,7 +50,7 @@ def _bits(word, lexicon, learned):
     bits = 0
     if low in lexicon:
         bits |= LEX
-    elif low in learned:
+    elif learned and any(low[:i] in learned for i in range(3, 10)):
         bits |= LEARNED
     elif bare and not bare.isalpha():
         # Stand-ins become letters, separators between letters go: w0rthless, l.o.s.e.r
@@ -100,11 +101,11 @@ def features_of(text, learned=()):
     give zeros.  Only the text goes to Python."""
     lexicon, learned = frozenset(INSULTS), frozenset(learned)
 
-    @F.pandas_udf("array<double>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bits_of = Memo(lambda word: _bits(word, lexicon, learned), 500_000)
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits_of = Memo(lambda word: _bits(word, lexicon, learned), 200_000)
         for texts in batches:
-            yield pd.Series([np.array(_features(t or "", bits_of)) for t in texts], dtype=object)
+            yield pa.array([_features(t.as_py(), bits_of) for t in texts], pa.list_(pa.float64()))
 
     return features(F.coalesce(text, F.lit("")))
 
@@ -125,20 +126,35 @@ def labelled_sample(docs, labels, label="toxic", bound=20_000, folds=(0, 1, 3)):
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def learned_words(sample, least=12, ratio=30.0, most=500):
-    """Words of the labelled sample that are in at least ``least`` toxic texts, that many times as often as in
-    others by share: at most ``most``, those in most toxic texts first."""
-    totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
-    toxic, clean = (totals[0] or 0.0), (totals[1] - (totals[0] or 0.0))
-    words = (sample.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
-             .groupBy("word").agg(F.sum("label").alias("in_toxic"), F.sum(1 - F.col("label")).alias("in_clean"))
-             .filter((F.length("word") >= 3) & (F.col("in_toxic") >= max(least, toxic / 50))
-                     & (F.col("in_toxic") * clean >= ratio * toxic * (F.col("in_clean") + 0.5))))
-    return [r.word for r in words.orderBy(F.desc("in_toxic"), "word").limit(most).select("word").collect()]
+def learned_stems(sample, least=6, ratio=25.0, most=500):
+    """Beginnings of words (3 to 9 letters) that the labelled sample shows to be toxic: in toxic texts they make
+    up at least ``ratio`` times the share of words that they have in others, and at least ``least`` toxic texts hold
+    such words.  Of a stem and its extensions only the shortest counts; at most ``most``, by evidence."""
+    words = (sample.select("label", F.monotonically_increasing_id().alias("text_id"),
+                           F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+             .filter(F.length("word") >= 3).groupBy("word").agg(
+                 F.sum("label").alias("in_toxic"), F.sum(1 - F.col("label")).alias("in_clean"),
+                 F.approx_count_distinct(F.when(F.col("label") == 1, F.col("text_id"))).alias("texts")))
+    words = materialized(words, "toxicity-words")
+    totals = words.agg(F.sum("in_toxic"), F.sum("in_clean")).first()
+    toxic, clean = (totals[0] or 0.0), (totals[1] or 0.0)
+    stems = (words.select("*", F.explode(F.sequence(F.lit(3), F.least(F.length("word"), F.lit(9)))).alias("n"))
+             .groupBy(F.expr("left(word, n)").alias("stem")).agg(
+                 F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"),
+                 F.sum("texts").alias("texts"))
+             .filter((F.col("texts") >= least) & (F.col("in_toxic") >= 2 * least)
+                     & (F.col("in_toxic") * clean >= ratio * toxic * (F.col("in_clean") + 1))))
+    found = stems.orderBy(F.desc("in_toxic"), "stem").limit(20 * most).select("stem").collect()
+    chosen = set()
+    for stem in sorted((r.stem for r in found), key=len):
+        if not any(stem[:n] in chosen for n in range(3, len(stem))):
+            chosen.add(stem)
+    order = [r.stem for r in found if r.stem in chosen]
+    return order[:most]
 
 
 class Model:
-    """A fitted scorer: learned words, trees and the calibration of their margin."""
+    """A fitted scorer: learned stems, trees and the calibration of their margin."""
 
     def __init__(self, words, trees, calibration, base):
         self.words, self.trees, self.calibration, self.base = words, trees, calibration, base
@@ -146,13 +162,13 @@ class Model:
     def transform(self, docs, keep=None):
         """Score whole texts: the ``keep`` columns (default: all) and ``score`` from 0 to 1."""
         keep = list(keep if keep is not None else docs.columns)
-        packed = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("_text"))
-        scored = (self._by_trees(packed) if self.trees is not None
-                  else packed.select("_row", F.lit(float(self.base)).alias("_score")))
-        return scored.select(*[F.col("_row")[c].alias(c) for c in keep if c != "score"], F.col("_score").alias("score"))
+        rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("_text"))
+        scored = (self._by_trees(rows) if self.trees is not None
+                  else rows.select("_row", F.lit(float(self.base)).alias("_score")))
+        return unpacked(scored, keep, score=F.col("_score"))
 
-    def _by_trees(self, packed):
-        rows = packed.select("_row", array_to_vector(features_of(F.col("_text"), self.words)).alias("features"))
+    def _by_trees(self, rows):
+        rows = rows.select("_row", array_to_vector(features_of(F.col("_text"), self.words)).alias("features"))
         rows = self.trees.transform(rows).select("_row", vector_to_array("rawPrediction")[1].alias("margin"))
         if self.calibration is None:
             return rows.select("_row", (1 / (1 + F.exp(-2 * F.col("margin")))).alias("_score"))
@@ -168,7 +184,7 @@ def fit(docs, labels, label="toxic", bound=20_000, held_out=2, calibrate=3, tree
     """
     folds = [f for f in range(4) if f != held_out]
     sample = materialized(labelled_sample(docs, labels, label, bound, folds), "toxicity-sample")
-    words = learned_words(sample.filter(F.col("fold") != calibrate))
+    words = learned_stems(sample.filter(F.col("fold") != calibrate))
     rows = materialized(sample.select("label", "fold", array_to_vector(features_of(F.col("text"), words)).alias("features")),
                         "toxicity-features").cache()
     kinds = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -1,0 +1,149 @@
+"""Toxicity, quality rules and secret scans: definitions by brute force, models by held-out rows."""
+
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from mnemoscope.llm import quality_rules, secret_scan, toxicity
+from tests.llm import cases
+
+
+def labelled(spark, rng, n=500):
+    """Documents of which a fifth insult, some with hidden letters, and a fifth are junk."""
+    docs, labels = [], []
+    for i in range(n):
+        words = cases.prose(rng, rng.randrange(30, 90)).split()
+        toxic, poor = int(i % 5 == 0), int(i % 5 == 1)
+        if toxic:
+            for _ in range(4):
+                words[rng.randrange(len(words))] = rng.choice(("you idiot", "worthless", "m0ron", "stuuupid", "scum", "glorbak" + rng.choice("aei")))
+        if poor:
+            words = [w + rng.choice(("###", "$$$", "%%%")) for w in words] if i % 2 else words[:3] * 25
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1 - poor, toxic))
+    return (spark.createDataFrame(docs, "doc_id bigint, text string"),
+            spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+
+
+def test_toxicity_of_held_out_rows(spark):
+    docs, labels = labelled(spark, random.Random(1))
+    scored = toxicity.score(docs, labels).join(labels.withColumnRenamed("toxic", "truth"), "doc_id").collect()
+    held = [r for r in scored if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(held) > 80 and all(0 <= r.score <= 1 for r in scored)
+    assert np.mean([r.toxic == r.truth for r in held]) >= 0.95
+
+
+def test_held_out_labels_are_never_read(spark):
+    docs, labels = labelled(spark, random.Random(2), 200)
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    turned = labels.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted(map(tuple, toxicity.score(docs, t).select("doc_id", "score").collect())) for t in (labels, turned))
+    assert a == b
+
+
+def test_toxicity_of_awkward_rows(spark):
+    docs, labels = labelled(spark, random.Random(3), 200)
+    model = toxicity.fit(docs, labels)
+    odd = cases.awkward(spark)
+    got = model.transform(odd)
+    assert got.columns == [*odd.columns, "score"]
+    rows = got.collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert model.transform(cases.empty(spark)).count() == 0
+    without = toxicity.fit(docs, labels.limit(0)).transform(docs).collect()
+    assert {r.score for r in without} == {0.0}
+    assert toxicity.score(cases.empty(spark), labels).count() == 0
+
+
+def brute_stats(text):
+    words = text.encode().split()
+    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+    twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 400 else {w for w in set(windows) if windows.count(w) > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(8)}
+    lines, dup, seen = text.split("\n"), 0, set()
+    for line in lines:
+        dup += bool(line.encode().split()) and line in seen
+        seen.add(line)
+    return (len(words), sum(len(w.decode()) for w in words), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered))
+
+
+def test_statistics_equal_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(("a b c d e f g h ", "x ", "y\n", "line one\n", "é#", "\t", " ", "|<>", "\x85", "q")) for _ in range(rng.randrange(40)))
+             for _ in range(200)]
+    docs = cases.awkward(spark, texts).filter("doc_id IS NULL OR doc_id != 103")
+    got = quality_rules.judge(docs, [])
+    assert [c for c in docs.columns] == got.columns[:len(docs.columns)]
+    for r in got.collect():
+        want = brute_stats(r.text or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, repr(r.text)
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and r.kept == (not r.base_failed)
+    assert quality_rules.judge(cases.empty(spark), []).count() == 0
+
+
+def test_decision_list_on_held_out_rows(spark):
+    docs, labels = labelled(spark, random.Random(5))
+    rules = quality_rules.fit(docs, labels)
+    assert rules and all(len(rule) <= 3 for rule in rules)
+    judged = quality_rules.judge(docs, rules).join(labels, "doc_id").collect()
+    held = [r for r in judged if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([r.kept == bool(r.quality) for r in held]) >= 0.95
+    assert quality_rules.fit(docs, labels.limit(0)) == []
+
+
+def test_learned_rules_are_pruned_and_ordered():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 3))
+    poor = (x[:, 0] > 0.8) | ((x[:, 1] <= 0.2) & (x[:, 2] > 0.5))
+    rules = quality_rules.learn(x, poor, ["a", "b", "c"], precision=0.8)
+    hit = np.zeros(len(x), bool)
+    for rule in rules:
+        hit |= quality_rules._covers([(["a", "b", "c"].index(n), over, cut) for n, over, cut in rule], x)
+    assert (hit == poor).mean() > 0.95
+    assert quality_rules.as_sql([[("a", True, 0.5)], [("b", False, 1.0)]]) == "CASE WHEN a > 0.5D THEN 1 WHEN b <= 1.0D THEN 2 ELSE 0 END"
+
+
+def secret_docs(rng):
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPabcdefghjkmn23456789") for _ in range(n))
+    rows, truth = [], {}
+    for i in range(400):
+        before, after = cases.prose(rng, 8), cases.prose(rng, 8)
+        kind = i % 5
+        middle = (f'token = "{hexes(40)}"', f"api_key: {mixed(32)}", f"sha1: {hexes(40)}", f"see https://example.com/{hexes(24)}/page",
+                  "internationalisationmentation")[kind]
+        rows.append((i, f"{before} {middle} {after}"))
+        truth[i] = kind < 2
+    return rows, truth
+
+
+def test_secrets_among_look_alikes(spark):
+    rows, truth = secret_docs(random.Random(6))
+    train = spark.createDataFrame(rows[:200], "doc_id bigint, text string")
+    forest = secret_scan.fit(secret_scan.hide_neighbours(secret_scan.labelled_findings(train)))
+    odd = cases.awkward(spark)
+    test = spark.createDataFrame(rows[200:], "doc_id bigint, text string")
+    found = secret_scan.scan(test, forest)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    got = {r.doc_id: r for r in found.collect()}
+    assert np.mean([bool(r.secrets) == truth[i] for i, r in got.items()]) >= 0.97
+    for r in got.values():
+        for s in r.secrets:
+            value = r.text[s.start:s.end]
+            assert len(value) >= 16 and value.isalnum()
+    scanned = secret_scan.scan(odd, forest)
+    assert scanned.columns == [*odd.columns, "candidates", "secrets"] and len(scanned.collect()) == odd.count()
+    assert secret_scan.scan(cases.empty(spark), forest).count() == 0
+
+
+def test_forest_as_sql_votes_like_the_forest(spark):
+    rng = random.Random(7)
+    rows = [(float(i % 2), [i % 2 + rng.random() * 1.5 for _ in secret_scan.FEATURES]) for i in range(300)]
+    findings = spark.createDataFrame(rows, "label double, features array<double>")
+    sql = secret_scan.fit(findings, trees=5, depth=4)
+    got = findings.select("label", F.expr(f"element_at(transform(array(features), f -> {sql}), 1)").alias("s")).collect()
+    assert np.mean([(r.s >= 0.5) == (r.label == 1) for r in got]) > 0.9
+    assert secret_scan.fit(findings.limit(0)).startswith("greatest(")
