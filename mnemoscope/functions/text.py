@@ -75,18 +75,36 @@ def is_decline(normalized):
 
 
 def blank(text):
-    """NULL, empty or only white space."""
-    return F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", F.lit(True))
+    """NULL, empty or only white space, no-break and other Unicode spaces and separators included."""
+    return F.coalesce(F.regexp_replace(text, r"[\s\p{Z}\x0B\x1C-\x1F\x85]+", "") == "", F.lit(True))
 
 
 def is_sha256(text):
     return F.coalesce(text.rlike(r"^[0-9a-f]{64}$"), F.lit(False))
 
 
+# Dates and times in the extended or the basic ISO form; seconds may have any number of decimals.
+_ISO = (r"^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2})).([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+        r"(Z|[+-][0-9]{2}(?::?[0-9]{2})?)$")
+
+
 def zoned_timestamp(text):
-    """Parse an ISO-8601 timestamp that names its zone; NULL for anything else."""
-    shape = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
-    return F.when(text.rlike(shape), F.try_to_timestamp(text))
+    """Parse an ISO-8601 timestamp that names its zone; NULL for anything else.
+
+    Minutes and seconds may be left out, and decimals beyond microseconds are cut off.
+    """
+    def group(i):
+        return F.regexp_extract(text, _ISO, i)
+
+    def or_zero(column):
+        return F.when(column == "", "00").otherwise(column)
+    zone = F.when(group(10) == "Z", "+00:00").otherwise(F.concat(
+        F.substring(group(10), 1, 3), F.lit(":"), or_zero(F.regexp_extract(group(10), "([0-9]{2})$", 1))))
+    zone = F.when(F.length(group(10)) == 3, F.concat(group(10), F.lit(":00"))).otherwise(zone)
+    day = F.concat(group(1), F.lit("-"), group(2), group(4), F.lit("-"), group(3), group(5))
+    clock = F.concat(group(6), F.lit(":"), or_zero(group(7)), F.lit(":"), or_zero(group(8)), F.lit("."),
+                     F.rpad(F.substring(group(9), 1, 6), 6, "0"))
+    return F.when(text.rlike(_ISO), F.try_to_timestamp(F.concat(day, F.lit("T"), clock, zone)))
 
 
 def letters_only(name):

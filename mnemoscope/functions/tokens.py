@@ -65,6 +65,24 @@ _WIRE = T.StructType([
     T.StructField("tools", T.ArrayType(T.StringType())), T.StructField("toolNames", T.ArrayType(T.StringType()))])
 
 
+def _wire_row(text):
+    """Body, messages, tools and tool names of one request; NULLs for one that lacks its parts."""
+    try:
+        request = json.loads(text)
+        settings = request["decodingSettings"]
+        if set(WIRE_RESERVED) & set(settings):
+            return None, None, None, None
+        messages = [_wire_message(message) for message in request["messages"]]
+        tools = [{"type": "function", "function": tool} for tool in request.get("tools", [])]
+        body = {"model": request["model"]["version"], "messages": messages, **settings}
+        body |= {"seed": request["seed"]} if "seed" in request else {}
+        body |= {"tools": tools} if "tools" in request else {}
+        return (_dump(body), [_dump(m) for m in messages], [_dump(t) for t in tools],
+                [tool["function"]["name"] for tool in tools])
+    except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
+        return None, None, None, None
+
+
 @F.pandas_udf(_WIRE)
 def wire_parts(requests: pd.Series) -> pd.DataFrame:
     """Provider body of a native request and the JSON of each message and tool, byte for byte.
@@ -72,22 +90,7 @@ def wire_parts(requests: pd.Series) -> pd.DataFrame:
     Token counts depend on the order in which keys were written, which neither VARIANT nor a typed
     struct keeps, so this one conversion runs in Arrow batches.
     """
-    rows = []
-    for text in requests:
-        request = None if text is None else json.loads(text)
-        if request is None or set(WIRE_RESERVED) & set(request["decodingSettings"]):
-            rows.append((None, None, None, None))
-            continue
-        messages = [_wire_message(message) for message in request["messages"]]
-        tools = [{"type": "function", "function": tool} for tool in request.get("tools", [])]
-        body = {"model": request["model"]["version"], "messages": messages,
-                **request["decodingSettings"]}
-        if "seed" in request:
-            body["seed"] = request["seed"]
-        if "tools" in request:
-            body["tools"] = tools
-        rows.append((_dump(body), [_dump(m) for m in messages], [_dump(t) for t in tools],
-                     [tool["function"]["name"] for tool in tools]))
+    rows = [_wire_row(text) for text in requests]
     return pd.DataFrame(rows, columns=["body", "messages", "tools", "toolNames"])
 
 

@@ -199,23 +199,30 @@ def retry_audit(requests):
                            total.alias("retryWaitSeconds"), problem.alias("problem"))
 
 
-def rate_audit(requests, rpm=60, time="ts", order="seq"):
+def rate_audit(requests, rpm=60, time="ts", order="seq", earlier=None):
     """Wait a token bucket would impose on each request of a provider, in microseconds.
 
     The bucket holds max(1, rpm) tokens, starts full and refills at rpm / 60 per second.  The earliest
     time the bucket is full again obeys full(i) = max(full(i-1), t(i)) + step, so it equals
     (i+1) * step + max over j <= i of (t(j) - j * step): a rank and a running maximum, both of which
     split over blocks of one hot provider.
+
+    ``earlier`` goes on from an audited log: provider, count and peak (the maximum above) of its requests.
     """
     step = int(60_000_000 / rpm)
     burst = int((max(1, rpm) - 1) * step)
     rows = requests.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
     blocks = range_blocks(rows, ["provider"], [time, order])
     ranked = running(blocks, ["provider"], [time, order], rank="_i", keep_blocks=True)
+    if earlier is not None:
+        # One row per provider; Catalyst broadcasts it while it is small.
+        carried = earlier.select("provider", F.col("count").alias("_before"), F.col("peak").alias("_peak0"))
+        ranked = ranked.join(carried, "provider", "left").withColumn("_i", F.col("_i") + F.coalesce("_before", F.lit(0)))
     ranked = ranked.withColumn("_lead", F.col("_t") - (F.col("_i") - 1) * step)
     run = running(ranked, ["provider"], [time, order], maxes={"_peak": "_lead"})
     # The peak over earlier requests only matters when it beats the request's own time.
-    wait = F.col("_peak") + (F.col("_i") - 1) * step - burst - F.col("_t")
+    peak = F.col("_peak") if earlier is None else F.greatest("_peak", "_peak0")
+    wait = peak + (F.col("_i") - 1) * step - burst - F.col("_t")
     return (run.withColumn("waitMicros", F.greatest(wait, F.lit(0)))
             .select(*requests.columns, F.col("_i").alias("position"), "waitMicros"))
 

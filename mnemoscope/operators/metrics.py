@@ -143,8 +143,18 @@ def budget_failures(outcome, requests):
 
 
 def latency(rows, value="latencyMs"):
-    """Latency distribution per run over rows that report one."""
-    return distribution(rows, ["runId"], value)
+    """Latency distribution per run over rows that report a finite one of at least zero; ``latency_violations``
+    names the others."""
+    possible = F.col(value).cast("double") >= 0
+    return distribution(rows.withColumn(value, F.when(possible, F.col(value))), ["runId"], value)
+
+
+def latency_violations(rows, keys, value="latencyMs"):
+    """Rows whose latency is NaN, infinite or negative, with the problem."""
+    number = F.col(value).cast("double")
+    problem = (F.when(F.isnan(number) | (F.abs(number) == float("inf")), "latency: finite number required")
+               .when(number < 0, "latency: must not be negative"))
+    return rows.select(*keys, problem.alias("problem")).filter("problem IS NOT NULL")
 
 
 def run_summary(outcome, requests, lifecycle):

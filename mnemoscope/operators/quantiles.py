@@ -71,8 +71,11 @@ def nearest_rank(df, keys, value, probs):
 
 def distribution(df, keys, value):
     """count, mean, p50, p95, min, max per group; groups come from all rows, so one without values
-    has count 0 and NULL statistics."""
-    finite = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    has count 0 and NULL statistics.  NaN and infinite values count as none."""
+    number = F.col(value).cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), F.col(value))
+    df = df.withColumn(value, finite)
+    finite = F.col(value)
     basic = df.groupBy(*keys).agg(
         F.count(finite).alias("count"), F.avg(finite).alias("mean"),
         F.min(finite).alias("min"), F.max(finite).alias("max"))

@@ -34,7 +34,12 @@ def score_runs(gold, captured, runs, scorer_version, verdicts=None, pinned_model
     judged = X.match_answers(answered.filter(~semantic), split=False).withColumn("judgeOutput", F.lit(None).cast("string")).select(*KEY, *RESULT)
     if verdicts is not None:
         by_judge = X.apply_verdicts(answered.filter(semantic), verdicts, KEY, pinned_model)
-        judged = judged.unionByName(by_judge.select(*KEY, *RESULT))
+    else:
+        # Without a table of verdicts no semantic record has one.
+        types = dict(judged.dtypes)
+        missing = {c: F.lit(None).cast(types[c]) for c in RESULT} | {"goldError": F.lit("no verdict for the record")}
+        by_judge = answered.filter(semantic).select(*KEY, *[c.alias(n) for n, c in missing.items()])
+    judged = judged.unionByName(by_judge.select(*KEY, *RESULT))
     rows = rows.join(judged, KEY, "left")
     scored = F.col("eligible")
     result = rows.select(

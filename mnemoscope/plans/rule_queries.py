@@ -84,7 +84,7 @@ def f24(spark, folder):
 
 def _payload():
     k = F.col("k")
-    return (F.when(k < 20, F.lit('{"turns":[{"text":"Expected","Expected_Answer":1}]}'))
+    return (F.when(k < 20, F.lit('{"turns":[{"text":"Expected","Expected_\\u0041nswer":1}]}'))
             .when(k < 40, F.lit('{"a":{"b":[1,{"introducedFactIds":[]},{"match-type":"x"}]}}'))
             .when(k < 60, F.lit('{"note":"\\"facts\\": in a value","ok":true}')).otherwise(F.concat(F.lit('{"k":'), k, F.lit("}"))))
 
@@ -98,9 +98,7 @@ def p02(spark, folder):
 @query("p02_gold_leak_paths", VIEWS + """SELECT seq, unnest(CASE WHEN k < 20 THEN ['$.turns[0].Expected_Answer'] ELSE ['$.a.b[1].introducedFactIds', '$.a.b[2].match-type'] END) AS path FROM request WHERE k < 40""")
 def p02_paths(spark, folder):
     rows = T.requests(spark, folder).withColumn("payload", _payload())
-    # Only payloads whose text shows a leak are unfolded.
-    suspects = rows.join(X.leaking_rows(rows, "seq", "payload").select("seq"), "seq", "left_semi")
-    return X.gold_leaks(suspects, "seq", "payload")
+    return X.gold_leaks(rows, "seq", "payload")
 
 
 @query("p03_projection_differences", """SELECT c_custkey, unnest(['missing or changed', 'not in the projection']) AS problem FROM customer WHERE c_acctbal < 0""")
@@ -239,7 +237,7 @@ def f13(spark, folder):
 
 @query("f17_redact_json", """SELECT c_custkey, '{"headers":{"X-Api-Key":"[REDACTED]","note":"Bearer [REDACTED] ok"},"pair":["Authorization","[REDACTED]"],"segment":"' || c_mktsegment || '"}' AS body FROM customer""")
 def f17(spark, folder):
-    body = F.concat(F.lit('{"headers":{"X-Api-Key":"s3","note":"Bearer '), F.col("c_name"), F.lit(' ok"},"pair":["Authorization","'),
+    body = F.concat(F.lit('{"headers":{"X-\\u0041pi-Key":"s3","note":"\\u0042earer '), F.col("c_name"), F.lit(' ok"},"pair":["Authorization","'),
                     F.col("c_name"), F.lit('"],"segment":"'), F.col("c_mktsegment"), F.lit('"}'))
     return T.table(spark, folder, "customer").select("c_custkey", redact_json(body).alias("body"))
 

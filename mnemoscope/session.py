@@ -35,7 +35,8 @@ def _shared_folder(spark, name):
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
         folder = tempfile.mkdtemp(prefix=f"mnemoscope-{name}-")
     return folder

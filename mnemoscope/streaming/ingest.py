@@ -1,18 +1,10 @@
 """Continuous ingest of run logs into Parquet, exactly once across restarts."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemoscope.functions.redact import redact_text
 
-# Our choice: how late a record may arrive and still be recognised as a duplicate.
-LATENESS = "1 hour"
-
-
-def deduplicated(rows, keys, time="timestamp", lateness=LATENESS):
-    """Drop records that a restarted writer sent again, within the lateness."""
-    return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
-
-
 def redacted(rows, columns, secrets=()):
     """Mask credentials in the text columns of a stream."""
     return rows.withColumns({c: redact_text(F.col(c), secrets) for c in columns})
@@ -26,3 +18,21 @@ def ingest(rows, target, checkpoint, once=True, partition=("runId",)):
     writer = (rows.writeStream.format("parquet").outputMode("append").partitionBy(*partition)
               .option("path", target).option("checkpointLocation", checkpoint))
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def ingest_unique(rows, keys, target, checkpoint, once=True):
+    """Write a stream of log rows to Parquet, one row for each value of ``keys``, however late it comes.
+
+    Each batch goes to a folder of its own, ``batch=<number>`` under ``target``, without the keys that
+    earlier batches hold; a batch that is tried again replaces its folder.  Only the key columns of what is
+    stored are read.
+    """
+    def write(batch, number):
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(list(keys))
+        if number:
+            stored = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).parquet(target).filter(F.col("batch") < number)
+            fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()

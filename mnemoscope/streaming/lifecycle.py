@@ -1,15 +1,10 @@
 """Run lifecycle and probe deadlines, over batches and streams alike."""
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
 from mnemoscope.functions.ratio import count_where
 from mnemoscope.operators.joins import lookup_join
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def lifecycle(events):
     """State of each run from its events: runId, position, ts, type, sessionIndex.
@@ -52,48 +47,30 @@ def deadlines(events, timeout_seconds):
                        ((F.col("_finish") - F.col("_start")) / 1000.0).alias("latencyMs"))
 
 
-class _Deadline(StatefulProcessor):
-    """One probe: start sets an event-time timer, finish clears it, the timer reports a timeout."""
-
-    def __init__(self, timeout_ms):
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle):
-        self.handle = handle
-        self.started = handle.getValueState("started", T.StructType([T.StructField("at", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        for row in sorted(rows, key=lambda r: (r.atMillis, r.type != "start")):
-            if row.type == "start":
-                if not self.started.exists():
-                    self.started.update((row.atMillis,))
-                    self.handle.registerTimer(row.atMillis + self.timeout_ms)
-            elif self.started.exists():
-                began = self.started.get()[0]
-                elapsed = row.atMillis - began
-                self.handle.deleteTimer(began + self.timeout_ms)
-                self.started.clear()
-                yield Row(runId=key[0], probeId=key[1], outcome="timeout" if elapsed > self.timeout_ms else "ok",
-                          latencyMs=float(elapsed))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.started.exists():
-            self.started.clear()
-            yield Row(runId=key[0], probeId=key[1], outcome="timeout", latencyMs=None)
-
-    def close(self):
-        pass
-
-
-def stream_deadlines(events, timeout_seconds, lateness="1 hour"):
-    """The same for a stream: each probe is judged when it finishes or when its deadline passes.
+def stream_deadlines(events, target, checkpoint, once=True):
+    """Keep when each probe of a stream started and finished, as small tables that ``judged_deadlines`` merges.
 
-    State is one number per open probe, keyed by (runId, probeId).
+    events: runId, probeId, type ('start' | 'finish'), ts.  Each batch is aggregated and replaces its own
+    folder, so nothing is lost however late it comes, retries do no harm and no state is held.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = T.StructType([T.StructField("runId", T.StringType()), T.StructField("probeId", T.StringType()),
-                           T.StructField("outcome", T.StringType()), T.StructField("latencyMs", T.DoubleType())])
-    rows = events.withWatermark("ts", lateness).withColumn("atMillis", F.unix_millis("ts"))
-    return rows.groupBy("runId", "probeId").transformWithState(
-        statefulProcessor=_Deadline(int(timeout_seconds * 1000)), outputStructType=schema,
-        outputMode="append", timeMode="EventTime")
+    def write(batch, number):
+        seen = batch.groupBy("runId", "probeId").agg(
+            F.min(F.when(F.col("type") == "start", F.col("ts"))).alias("started"),
+            F.min(F.when(F.col("type") == "finish", F.col("ts"))).alias("finished"), F.max("ts").alias("latest"))
+        seen.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def judged_deadlines(spark, target, timeout_seconds):
+    """Every started probe of a stream's tables as of its latest event: ok, timeout (late, or its deadline has passed
+    without a finish) or open."""
+    parts = spark.read.parquet(target)
+    clock = parts.agg(F.max("latest")).first()[0]
+    probes = parts.groupBy("runId", "probeId").agg(F.min("started").alias("started"), F.min("finished").alias("finished"))
+    took = (F.unix_micros("finished") - F.unix_micros("started")) / 1000
+    left = F.lit(clock) <= F.col("started") + F.make_dt_interval(secs=F.lit(timeout_seconds))
+    outcome = (F.when(F.col("finished").isNotNull(), F.when(took > timeout_seconds * 1000, "timeout").otherwise("ok"))
+               .when(left, "open").otherwise("timeout"))
+    return probes.filter("started IS NOT NULL").select("runId", "probeId", outcome.alias("outcome"), took.alias("latencyMs"))

@@ -1,45 +1,34 @@
 """Token-bucket audit of a request stream, per provider and in time order."""
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
-from mnemoscope.streaming.lifecycle import ROCKSDB
+from mnemoscope.operators.archive import rate_audit
+from mnemoscope.session import checkpointed
 
 
-class _Bucket(StatefulProcessor):
-    """State is the time at which the bucket is full again; each request pushes it one step on."""
+def stream_rate_audit(requests, target, checkpoint, rpm=60, once=True):
+    """Write (provider, seq, waitMicros) of a stream whose batches arrive in time order to ``target``/waits.
 
-    def __init__(self, step, burst):
-        self.step, self.burst = step, burst
-
-    def init(self, handle):
-        self.full = handle.getValueState("full", T.StructType([T.StructField("at", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        full = self.full.get()[0] if self.full.exists() else None
-        for row in sorted(rows, key=lambda r: (r.atMicros, r.seq)):
-            waiting = 0 if full is None else max(0, full - self.burst - row.atMicros)
-            full = (row.atMicros if full is None else max(full, row.atMicros)) + self.step
-            yield Row(provider=key[0], seq=row.seq, waitMicros=waiting)
-        self.full.update((full,))
-
-    def close(self):
-        pass
-
-
-def stream_rate_audit(requests, rpm=60):
-    """(provider, seq, waitMicros) of a stream whose files arrive in time order.
-
-    requests: provider, seq, ts.  A micro-batch bounds what one provider's task sees at a time; a
-    finished log of one hot provider is audited in parallel by ``archive.rate_audit``.
+    requests: provider, seq, ts.  Each batch is audited like a finished log, a hot provider split over tasks,
+    and goes on from one row per provider, the number of requests so far and their peak, that the batches
+    before left in ``target``/state.  A batch that is tried again replaces what it wrote.
     """
-    step = int(60_000_000 / rpm)
-    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = T.StructType([T.StructField("provider", T.StringType()), T.StructField("seq", T.LongType()),
-                           T.StructField("waitMicros", T.LongType())])
-    rows = requests.withColumn("atMicros", F.unix_micros(F.col("ts").cast("timestamp")))
-    return rows.groupBy("provider").transformWithState(
-        statefulProcessor=_Bucket(step, int((max(1, rpm) - 1) * step)), outputStructType=schema,
-        outputMode="append", timeMode="None")
+    def write(batch, number):
+        spark, rows = batch.sparkSession, checkpointed(batch.select("provider", "seq", "ts"))
+        earlier = None
+        if number:
+            earlier = spark.read.parquet(f"{target}/state/batch={number - 1}")
+        audited = rate_audit(rows, rpm, earlier=earlier)
+        audited.select("provider", "seq", "waitMicros").write.mode("overwrite").parquet(f"{target}/waits/batch={number}")
+        step = int(60_000_000 / rpm)
+        lead = F.unix_micros(F.col("ts").cast("timestamp")) - (F.col("position") - 1) * step
+        state = audited.withColumn("lead", lead).groupBy("provider").agg(
+            F.max("position").alias("count"), F.max("lead").alias("peak"))
+        if earlier is not None:
+            old = earlier.select("provider", F.col("count").alias("count0"), F.col("peak").alias("peak0"))
+            state = state.join(old, "provider", "full").select(
+                "provider", F.greatest("count", "count0").alias("count"), F.greatest("peak", "peak0").alias("peak"))
+        state.write.mode("overwrite").parquet(f"{target}/state/batch={number}")
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()

@@ -23,7 +23,7 @@ def test_restart_continues_without_duplicates(spark, tmp_path):
 
     def run():
         rows, _ = jsonl.stream_jsonl(spark, str(source), EVENT)
-        ingest.ingest(ingest.deduplicated(rows, ["runId", "requestId"]), target, offsets).awaitTermination()
+        ingest.ingest_unique(rows, ["runId", "requestId"], target, offsets).awaitTermination()
     write(source, "a.jsonl", [record(i) for i in range(6)] + ["not an object"])
     run()
     # An interrupted writer sends two records again before going on.
@@ -98,7 +98,26 @@ def test_streaming_rate_audit_keeps_its_state(spark, tmp_path):
     for part, cut in enumerate((slice(0, 5), slice(5, 10))):
         write(source, f"{part}.jsonl", [{"provider": "p", "seq": i, "at": times[i]} for i in range(10)[cut]])
         rows, _ = jsonl.stream_jsonl(spark, str(source), "provider string, seq bigint, at bigint")
-        audit = rate.stream_rate_audit(rows.withColumn("ts", F.timestamp_seconds("at")), rpm=3)
-        (audit.writeStream.format("parquet").option("path", target).option("checkpointLocation", offsets)
-         .trigger(availableNow=True).start().awaitTermination())
-    assert [r.waitMicros for r in spark.read.parquet(target).orderBy("seq").collect()] == bucket(times, 3)
+        rate.stream_rate_audit(rows.withColumn("ts", F.timestamp_seconds("at")), target, offsets, rpm=3).awaitTermination()
+    assert [r.waitMicros for r in spark.read.parquet(f"{target}/waits").orderBy("seq").collect()] == bucket(times, 3)
+
+
+def test_late_records_are_kept_and_repeated_ones_dropped(spark, tmp_path):
+    source, target, offsets = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
+    for i, at in enumerate(("12:00", "12:10", "10:00", "12:30", "10:00")):
+        write(source, f"{i}.jsonl", [record(i % 4, timestamp=f"2026-01-01T{at}:00Z")])
+        rows, _ = jsonl.stream_jsonl(spark, str(source), EVENT)
+        ingest.ingest_unique(rows, ["runId", "requestId"], target, offsets).awaitTermination()
+    assert sorted(r.requestId for r in spark.read.parquet(target).collect()) == ["r0", "r1", "r2", "r3"]
+
+
+def test_stream_deadlines_judge_late_finishes_and_missing_ones(spark, tmp_path):
+    source, target, offsets = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
+    batches = ([("p1", "start", 0), ("p2", "start", 0), ("p3", "start", 10)], [("p4", "start", 100_000), ("p5", "start", 99_999)],
+               [("p1", "finish", 5), ("p5", "finish", 100_000), ("p2", "finish", 70)])
+    for n, batch in enumerate(batches):
+        write(source, f"{n}.jsonl", [{"runId": "r", "probeId": p, "type": t, "at": at} for p, t, at in batch])
+        rows, _ = jsonl.stream_jsonl(spark, str(source), "runId string, probeId string, type string, at bigint")
+        lifecycle.stream_deadlines(rows.withColumn("ts", F.timestamp_seconds("at")), target, offsets).awaitTermination()
+    got = {r.probeId: (r.outcome, r.latencyMs) for r in lifecycle.judged_deadlines(spark, target, 60).collect()}
+    assert got == {"p1": ("ok", 5000.0), "p2": ("timeout", 70000.0), "p3": ("timeout", None), "p4": ("open", None), "p5": ("ok", 1000.0)}
