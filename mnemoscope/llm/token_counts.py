@@ -10,6 +10,7 @@ text, and pieces have it only at their beginning, so words are counted one by on
 """
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,28 @@ from mnemoscope.llm.worker import Memo, per_worker
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-WORDS, CHECKS = 200_000, 150_000  # what a worker remembers at most
+WORDS, CHECKS, STATES = 200_000, 150_000, 80_000  # what a worker remembers at most
+
+
+class _State(dict):
+    """What may be under way after some symbols: symbol to (next state, change of the count)."""
+
+    __slots__ = ("counter", "hypotheses")
+
+    def __missing__(self, symbol):
+        move = self[symbol] = self.counter.move(self, symbol)
+        return move
 
 
 class PrefixCounter:
-    """Counts for one model file."""
+    """Counts for one model file.
 
-    def __init__(self, path):
+    The program runs as an automaton whose states are made when first met: a state holds, for every token
+    that may be under way, the last token before it, its place in the trie of pieces, and how the count
+    before it differs from the count at the prefix read so far.
+    """
+
+    def __init__(self, path, states=STATES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -37,39 +53,58 @@ class PrefixCounter:
         if any(BLANK in piece.lstrip(BLANK) for piece in scores):
             raise ValueError("pieces of this model cross words")
         order = {score: place for place, score in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.ranks = {piece: order[score] for piece, score in scores.items()}
-        self.proper = {piece[:n] for piece in self.ranks for n in range(1, len(piece))}
-        merges = Merges(self.ranks)
+        ranks = {piece: order[score] for piece, score in scores.items()}
+        inner = {piece[:n] for piece in ranks for n in range(1, len(piece))}
+        number = {"": 0} | {part: n for n, part in enumerate(inner, start=1)}
+        self.trie = {(number[part[:-1]], part[-1]): (number.get(part), part if part in ranks else None, part in inner)
+                     for part in inner | ranks.keys()}
+        merges = Merges(ranks)
         self.apart = Memo(lambda pair: merges.apart(*pair), CHECKS)
+        self.most_states = states
+        self._forget()
         self.steps_of = Memo(self._steps, WORDS)
 
     @classmethod
     def of_worker(cls, path):
         return per_worker(("prefix counts", path), lambda: cls(path))
 
-    def counts(self, word):
-        """Token counts at every prefix of one word."""
-        counts = []
-        # Tokens under way: (symbols so far, count and last token of the prefix before them)
-        live = [("", 0, None)]
-        for symbol in word:
-            going, ended = [], None
-            for under_way, count, last in live:
-                piece = under_way + symbol
-                if piece in self.proper:
-                    going.append((piece, count, last))
-                if ended is None and piece in self.ranks and self.apart[last, piece]:
-                    ended = ("", count + 1, piece)
-            if ended is None:
-                # A symbol outside the vocabulary falls back to one token for each of its bytes.
-                ended = ("", live[-1][1] + len(symbol.encode("utf-8", "surrogatepass")), None)
-            live = [*going, ended]
-            counts.append(ended[1])
-        return counts
+    def _forget(self):
+        self.states = {}
+        self.start = self._state(((0, None, 0),))
+
+    def _state(self, hypotheses):
+        state = self.states.get(hypotheses)
+        if state is None:
+            state = self.states[hypotheses] = _State()
+            state.counter, state.hypotheses = self, hypotheses
+        return state
+
+    def move(self, state, symbol):
+        live, ended = [], None
+        for count, last, node in state.hypotheses:
+            found = self.trie.get((node, symbol))
+            if found is None:
+                continue
+            child, piece, inner = found
+            if inner:
+                live.append((count, last, child))
+            if piece is not None and ended is None and self.apart[last, piece]:  # every prefix has one tokenisation
+                ended = (count + 1, piece)
+        if ended is None:
+            # A symbol outside the vocabulary falls back to one token for each of its bytes.
+            ended = (len(symbol.encode("utf-8", "surrogatepass")), None)
+        change, piece = ended
+        return self._state((*((count - change, last, node) for count, last, node in live), (0, piece, 0))), change
 
     def _steps(self, word):
         """Changes of the count from prefix to prefix of a word, one signed byte each."""
-        return np.diff(self.counts(word), prepend=0).astype(np.int8).tobytes()
+        if len(self.states) >= self.most_states:
+            self._forget()
+        state, steps = self.start, array("b")
+        for symbol in word:
+            state, change = state[symbol]
+            steps.append(change)
+        return steps.tobytes()
 
     def steps(self, text):
         """Changes of the count at each code point of a text."""
