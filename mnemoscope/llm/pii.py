@@ -14,7 +14,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+"
 
 # Fixed order of the kinds in digests.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -72,6 +72,13 @@ def mod97(account):
         c == "", rest).otherwise((rest * 100 + F.ascii(c) - 55) % 97)) == 1
 
 
+def _stands_alone(text, span):
+    """Whether neither a letter nor a digit of ASCII touches a span."""
+    before = F.when(span.start > 0, F.substring(text, span.start.cast("int"), F.lit(1))).otherwise("")
+    after = F.substring(text, span.end.cast("int") + 1, F.lit(1))
+    return ~F.concat(before, after).rlike("[A-Za-z0-9]")
+
+
 def _scored(text, spans, kind):
     """Spans of one kind with a score: words before a span raise or lower it."""
     def one(s):
@@ -110,7 +117,7 @@ def find(docs, text="text"):
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     base = base_spans(whole)
-    accounts = F.filter(matches(whole, IBAN, whole.rlike("[A-Z]{2}[0-9]{2}")), lambda s: mod97(s.value))
+    accounts = F.filter(matches(whole, IBAN, whole.rlike("[A-Z]{2}[0-9]{2}")), lambda s: _stands_alone(whole, s) & mod97(s.value))
     first = F.concat(*[_scored(whole, spans, kind) for kind, spans in base.items()])
     rows = packed(docs, _base=first, _more=_scored(whole, accounts, "iban"))
     return unpacked(rows, docs.columns, base_spans=F.col("_base"), pii_spans=F.concat("_base", "_more"))

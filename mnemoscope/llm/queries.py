@@ -11,7 +11,30 @@ RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 
 
-@query("op1_pii")
+@query("op1_pii", sql=r"""
+    WITH patterns(kind, place, re) AS (VALUES
+      ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+      ('card', 3, '[0-9]([\x20-]?[0-9])+'), ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]'),
+      ('iban', 5, '[A-Z]{2}[0-9]{2}([ ]?[A-Z0-9]){11,30}')),
+    texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    found AS (SELECT doc_id, t, kind, place, regexp_extract_all(t, re, 0) AS ms, string_split_regex(t, re) AS gaps FROM texts, patterns),
+    each AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found),
+    placed AS (SELECT doc_id, t, kind, place, ms[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS a FROM each),
+    parts AS (SELECT *, a + length(v) AS b, regexp_replace(v, '[^0-9]', '', 'g') AS ds, replace(v, ' ', '') AS plain FROM placed),
+    checked AS (SELECT doc_id, kind, place, a, b FROM parts WHERE CASE kind WHEN 'email' THEN true
+      WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: NOT (length(ltrim(p, '0')) < 3 OR length(ltrim(p, '0')) = 3 AND ltrim(p, '0') <= '255'))) = 0
+      WHEN 'card' THEN length(ds) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(ds) + 1), lambda k:
+        CASE WHEN (length(ds) - k) % 2 = 0 THEN CAST(ds[k] AS INT) WHEN CAST(ds[k] AS INT) > 4 THEN 2 * CAST(ds[k] AS INT) - 9 ELSE 2 * CAST(ds[k] AS INT) END)) % 10 = 0
+      WHEN 'phone' THEN length(ds) BETWEEN 8 AND 15
+      ELSE NOT regexp_matches(CASE WHEN a > 0 THEN t[a] ELSE '' END || t[b + 1], '[A-Za-z0-9]')
+        AND list_reduce(list_prepend(0, list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+          lambda x, y: CASE WHEN y < 10 THEN (x * 10 + y) % 97 ELSE (x * 100 + y) % 97 END) = 1 END)
+    SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+      count(*) FILTER (kind = 'phone') AS n_phone,
+      sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY place, a) FILTER (kind <> 'iban'), '')) AS base_sha256,
+      coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY place, a), '') AS spans
+    FROM texts LEFT JOIN checked USING (doc_id) GROUP BY doc_id""")
 def op1(spark, folder):
     """Personal data in every document."""
     found = pii.find(documents(spark, folder).select("doc_id", "text"))
