@@ -3,26 +3,28 @@
 A tokenisation is the BPE one exactly when every two neighbouring tokens stay apart when their joined
 bytes are merged alone.  So the encoder is a nondeterministic transducer over bytes whose hypotheses are
 (last finished token, bytes of the token under way); a token may finish where its neighbour check holds.
-Determinising it lazily gives states that hold every live hypothesis with the tokens they do not yet
-agree on; whatever all of them agree on is emitted at once, so output lags by one token's length at most.
-States and transitions are made when first met and are forgotten beyond a fixed number.
+Determinising it lazily gives states that hold all live hypotheses; a move tells the last token of the prefix it
+completes.  Tokens that all hypotheses agree on are emitted, so output lags by one token's length at most.
+States and moves are made when first met and are forgotten beyond a fixed number.
 """
 
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mnemoscope.llm.worker import Memo, per_worker
+from mnemoscope.llm.worker import Memo, for_task
 
 # Fixed: Unicode's White_Space, which is what \s means to the library whose output is matched.
 SPACE = r"\t-\r \x85\xa0  -     　"
-STATES, CHECKS, PIECES = 150_000, 300_000, 300_000  # what a worker remembers at most
+STATES, CHECKS, PIECES = 120_000, 150_000, 250_000  # what a worker remembers at most, unless told otherwise
+NODE = 24  # bits of a trie node's number
+_NODES = (1 << NODE) - 1
 
 
 def read_ranks(path):
@@ -110,9 +112,9 @@ class Merges:
 
 
 class _State(dict):
-    """A determinised state: byte to (next state, tokens emitted), filled when a byte first comes."""
+    """A determinised state: byte to (next state, last token of the prefix that ends there)."""
 
-    __slots__ = ("machine", "last", "hypotheses")
+    __slots__ = ("machine", "hypotheses")
 
     def __missing__(self, byte):
         move = self[byte] = self.machine.move(self, byte)
@@ -120,56 +122,67 @@ class _State(dict):
 
 
 class Transducer:
-    """From bytes to token ids, for any vocabulary that maps token bytes to ranks."""
+    """From bytes to token ids, for any vocabulary that maps token bytes to ranks.
+
+    A hypothesis is one number, the last finished token above the trie node of the bytes under way.  One
+    of a state's hypotheses always has nothing under way: its token ends the tokenisation of the prefix
+    read so far.
+    """
 
     def __init__(self, ranks, states=STATES, checks=CHECKS):
         self.ranks, self.most_states, self.most_checks = ranks, states, checks
-        self.proper = {token[:n] for token in ranks for n in range(1, len(token))}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.byte = [bytes((i,)) for i in range(256)]
+        self.width = {rank: len(token) for token, rank in ranks.items()}
+        self.nobody = max(ranks.values()) + 1  # stands left of the first token
         self.merges = Merges(ranks)
+        # A trie of tokens: (node << 8 | byte) to (child, rank of the token that ends there or None, whether
+        # longer tokens go on).
+        inner = {token[:n] for token in ranks for n in range(1, len(token))}
+        number = {b"": 0} | {part: n for n, part in enumerate(inner, start=1)}
+        self.depth = {n: len(part) for part, n in number.items()}
+        self.trie = {number[part[:-1]] << 8 | part[-1]: (number.get(part, 0), ranks.get(part), part in inner)
+                     for part in inner | ranks.keys()}
+        self.states = {}
         self._forget()
 
-    def _forget(self):
+    def clear(self):
+        """Forget all states; they point at each other, so each is emptied."""
+        for state in self.states.values():
+            state.clear()
         self.states, self.apart = {}, {}
-        self.start = self._state(None, (((), b""),))
 
-    def _state(self, last, hypotheses):
-        """The state with this last emitted token and these hypotheses, each (tokens not yet agreed on,
-        bytes under way), in the order in which their bytes under way began."""
-        key = (last, hypotheses)
-        state = self.states.get(key)
+    def _forget(self):
+        self.clear()
+        self.start = self._state((self.nobody << NODE,))
+
+    def _state(self, hypotheses):
+        state = self.states.get(hypotheses)
         if state is None:
-            state = self.states[key] = _State()
-            state.machine, state.last, state.hypotheses = self, last, hypotheses
+            state = self.states[hypotheses] = _State()
+            state.machine, state.hypotheses = self, hypotheses
         return state
 
     def _follows(self, left, right):
-        key = (left, right)
-        known = self.apart.get(key)
-        if known is None:
-            known = self.apart[key] = self.merges.apart(self.bytes_of.get(left), self.bytes_of[right])
-        return known
+        return self.merges.apart(self.bytes_of.get(left), self.bytes_of[right])
 
     def move(self, state, byte):
-        last, live, finished = state.last, [], None
-        for waiting, under_way in state.hypotheses:
-            token = under_way + self.byte[byte]
-            if token in self.proper:
-                live.append((waiting, token))
-            if finished is None:  # every prefix has one tokenisation
-                rank = self.ranks.get(token)
-                if rank is not None and self._follows(waiting[-1] if waiting else last, rank):
-                    finished = (*waiting, rank)
-        live.append((finished, b""))
-        first = live[0][0]
-        agreed = 0
-        while agreed < len(first) and all(w[agreed:agreed + 1] == first[agreed:agreed + 1] for w, _ in live):
-            agreed += 1
-        if agreed:
-            last = first[agreed - 1]
-            live = [(w[agreed:], u) for w, u in live]
-        return self._state(last, tuple(live)), first[:agreed]
+        live, ended = [], None
+        for hypothesis in state.hypotheses:
+            node = hypothesis & _NODES
+            found = self.trie.get(node << 8 | byte)
+            if found is None:
+                continue
+            child, rank, inner = found
+            if inner:
+                live.append(hypothesis - node + child)
+            if rank is not None and ended is None:  # every prefix has one tokenisation
+                pair = hypothesis >> NODE << 32 | rank
+                known = self.apart.get(pair)
+                if known is None:
+                    known = self.apart[pair] = self._follows(hypothesis >> NODE, rank)
+                if known:
+                    ended = rank
+        return self._state((*live, ended << NODE)), ended
 
     def encode(self, data):
         """Token ids of one piece.  A piece that is a token is that token."""
@@ -177,12 +190,41 @@ class Transducer:
             return (self.ranks[data],)
         if len(self.states) >= self.most_states or len(self.apart) >= self.most_checks:
             self._forget()
-        state, out = self.start, ()
+        state, lasts = self.start, []
+        for byte in data:
+            state, last = state[byte]
+            lasts.append(last)
+        return self._chain(lasts, 0, len(lasts))
+
+    def _chain(self, lasts, begin, end):
+        """The tokens between two ends of tokens."""
+        out = []
+        while end > begin:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= self.width[token]
+        return tuple(reversed(out))
+
+    def stream(self, data):
+        """Token ids of one piece as soon as they are certain: when every hypothesis has them.
+
+        Whatever has begun within the last token's length may still be under way, so a token comes at most
+        the longest token's length after its end.
+        """
+        state, lasts, emitted = self.start, [], 0
         for byte in data:
-            state, emitted = state[byte]
-            if emitted:
-                out += emitted
-        return out + state.hypotheses[-1][0]
+            state, last = state[byte]
+            lasts.append(last)
+            # Where the tokens under way begin; they agree on what is before their last common end.
+            begins = {len(lasts) - self.depth[h & _NODES] for h in state.hypotheses}
+            while len(begins) > 1:
+                latest = max(begins)
+                begins.remove(latest)
+                begins.add(latest - self.width[lasts[latest - 1]])
+            common = begins.pop()
+            yield from self._chain(lasts, emitted, common)
+            emitted = max(emitted, common)
+        yield from self._chain(lasts, emitted, len(lasts))
 
 
 class Utf8Machine:
@@ -229,17 +271,18 @@ class Utf8Machine:
 class Codec:
     """Encoding and decoding of whole texts with one vocabulary and one splitting pattern."""
 
-    def __init__(self, path, pattern):
+    def __init__(self, path, pattern, pieces=PIECES, states=STATES, checks=CHECKS):
         ranks = read_ranks(path)
-        transducer = Transducer(ranks)
+        self.transducer = transducer = Transducer(ranks, states, checks)
         self.split = Splitter(pattern)
-        self.ids_of = Memo(lambda piece: transducer.encode(piece.encode("utf-8")), PIECES)
-        self.written = Memo(lambda piece: " ".join(map(str, self.ids_of[piece])), PIECES)
+        self.ids_of = Memo(lambda piece: transducer.encode(piece.encode("utf-8")), pieces)
+        self.written = {rank: str(rank) for rank in ranks.values()}
         self.machine = Utf8Machine(transducer.bytes_of)
 
-    @classmethod
-    def of_worker(cls, path, pattern):
-        return per_worker(("bpe", path, pattern), lambda: cls(path, pattern))
+    def close(self):
+        self.transducer.clear()
+        self.ids_of.clear()
+        self.machine.states.clear()
 
     def encode(self, text):
         return list(chain.from_iterable(map(self.ids_of.__getitem__, self.split(text))))
@@ -254,43 +297,49 @@ def encode(docs, path, pattern, text="text", ids="token_ids"):
     ``path`` names the vocabulary file, which every executor must be able to open.  Only the texts go to
     Python; all rows and other columns stay as they are, and a column named ``ids`` is replaced.
     """
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec.of_worker(path, pattern)
-        for texts in batches:
-            yield pd.Series([np.array(codec.encode(t), dtype=np.int32) for t in texts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with for_task(lambda: Codec(path, pattern)) as codec:
+            for texts in batches:
+                flat, ends = array("i"), [0]
+                for text in texts:
+                    flat.extend(codec.encode(text.as_py()))
+                    ends.append(len(flat))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(
+                    pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
 
     return docs.withColumn(ids, encoded(F.coalesce(text, F.lit(""))))
 
 
 def decode(tokens, path, pattern, ids="token_ids", text="decoded"):
     """Add the text that token ids stand for; null ids count as none."""
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec.of_worker(path, pattern)
-        for lists in batches:
-            yield pd.Series([codec.decode(x.tolist()) for x in lists], dtype=object)
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with for_task(lambda: Codec(path, pattern)) as codec:
+            for lists in batches:
+                yield pa.array((codec.decode(x.as_py()) for x in lists), pa.string())
 
     return tokens.withColumn(text, decoded(F.coalesce(ids, F.array().cast("array<int>"))))
 
 
-def roundtrip(docs, path, pattern):
+def roundtrip(docs, path, pattern, pieces=700_000, states=250_000, checks=400_000):
     """Encode every whole text and decode its ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The same codec as ``encode`` and ``decode``, without sending the ids through the JVM.  A null text
-    counts as empty and gives no token and the hashes of the empty string.  Other columns are ignored.
+    counts as empty and gives no token and the hashes of the empty string.  Other columns are ignored.  ``pieces``, ``states`` and
+    ``checks`` bound what a worker remembers, about 450 MB; they change only the speed.
     """
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec.of_worker(path, pattern)
-        for texts in batches:
-            counts, listed, decoded = [], [], []
-            for text in texts:
-                pieces = codec.split(text)
-                ids = list(chain.from_iterable(map(codec.ids_of.__getitem__, pieces)))
-                counts.append(len(ids))
-                listed.append(hashlib.sha256(" ".join(map(codec.written.__getitem__, pieces)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"n_tokens": counts, "ids_sha256": listed, "decoded_sha256": decoded})
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with for_task(lambda: Codec(path, pattern, pieces, states, checks)) as codec:
+            for texts in batches:
+                counts, listed, decoded = [], [], []
+                for text in texts:
+                    ids = codec.encode(text.as_py())
+                    counts.append(len(ids))
+                    listed.append(hashlib.sha256(" ".join(map(codec.written.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())],
+                                                 names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests(F.coalesce("text", F.lit(""))).alias("d")).select("doc_id", "d.*")

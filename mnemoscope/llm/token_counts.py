@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mnemoscope.llm.bpe import Merges
 from mnemoscope.llm.frames import packed, unpacked
-from mnemoscope.llm.worker import Memo, per_worker
+from mnemoscope.llm.worker import Memo, for_task
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
@@ -60,15 +60,19 @@ class PrefixCounter:
                      for part in inner | ranks.keys()}
         merges = Merges(ranks)
         self.apart = Memo(lambda pair: merges.apart(*pair), CHECKS)
-        self.most_states = states
+        self.most_states, self.states = states, {}
         self._forget()
         self.steps_of = Memo(self._steps, WORDS)
 
-    @classmethod
-    def of_worker(cls, path):
-        return per_worker(("prefix counts", path), lambda: cls(path))
+    def close(self):
+        for state in self.states.values():
+            state.clear()
+        self.states = {}
+        self.steps_of.clear()
 
     def _forget(self):
+        for state in self.states.values():
+            state.clear()
         self.states = {}
         self.start = self._state(((0, None, 0),))
 
@@ -124,11 +128,11 @@ def prefix_counts(docs, path, text="text"):
     """
     @F.arrow_udf("n_tokens bigint, prefix_steps binary")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = PrefixCounter.of_worker(path)
-        for texts in batches:
-            steps = [counter.steps(t.as_py()) for t in texts]
-            totals = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
-            yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(steps, pa.binary())], names=["n_tokens", "prefix_steps"])
+        with for_task(lambda: PrefixCounter(path)) as counter:
+            for texts in batches:
+                steps = [counter.steps(t.as_py()) for t in texts]
+                totals = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
+                yield pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(steps, pa.binary())], names=["n_tokens", "prefix_steps"])
 
     rows = packed(docs, _counted=counted(F.coalesce(text, F.lit(""))))
     return unpacked(rows, docs.columns, n_tokens=F.col("_counted.n_tokens"), prefix_steps=F.col("_counted.prefix_steps"))

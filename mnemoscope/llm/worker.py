@@ -1,34 +1,40 @@
-"""Memos of a Python worker that outlive a task."""
+"""Memos of a Python task."""
 
 import gc
-import sys
-import types
+from contextlib import contextmanager
 
 
-def per_worker(key, make):
-    """The object under ``key``, made once per worker process.
+@contextmanager
+def for_task(make):
+    """What ``make`` returns, for one task; it is closed when the task ends.
 
-    Functions are pickled by value, so their modules begin anew in each task; this registry does not.
-    Only pure memos belong here: a worker that starts empty computes the same results.
+    Memos hold very many objects and few cycles, so the collector rests meanwhile instead of walking them
+    again and again.  A worker that goes on to other tasks gives the memory back.
     """
-    kept = sys.modules.setdefault("_mnemoscope_worker", types.ModuleType("_mnemoscope_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-        # What is kept stays for long and holds few cycles: do not walk it again and again.
-        gc.freeze()
-        gc.set_threshold(100_000, 20, 100)
-    return kept[key]
+    gc.disable()
+    made = make()
+    try:
+        yield made
+    finally:
+        made.close()
+        gc.enable()
+        gc.collect()
 
 
 class Memo(dict):
-    """Results of a function, at most ``size`` of them; a full memo starts over."""
+    """Results of a function, at most ``size`` of them; a full memo forgets what has not been asked for since
+    it was last full."""
 
     def __init__(self, function, size):
         super().__init__()
-        self.function, self.size = function, size
+        self.function, self.half, self.older = function, max(1, size // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value

@@ -48,6 +48,27 @@ def test_forgetting_changes_nothing():
         assert small.encode(data) == large.encode(data)
 
 
+def test_tokens_come_after_bounded_lookahead():
+    machine, rng = bpe.Transducer(bpe.read_ranks(RANKS)), random.Random(5)
+    longest = max(machine.width.values())
+    for _ in range(300):
+        data = bytes(rng.choice(b"abcdefgh theinsr.0") for _ in range(rng.randrange(1, 40)))
+        if data in machine.ranks:
+            continue
+        read = []
+
+        def bytewise():
+            for byte in data:
+                read.append(byte)
+                yield byte
+        covered, tokens = 0, []
+        for token in machine.stream(bytewise()):
+            tokens.append(token)
+            covered += machine.width[token]
+            assert len(read) - covered <= longest
+        assert tuple(tokens) == machine.encode(data)
+
+
 def test_roundtrip_of_awkward_rows(spark):
     docs, other = cases.awkward(spark), library()
     got = bpe.roundtrip(docs, RANKS, P.PATTERN).collect()
