@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemoscope.session import materialized
+from mnemoscope.session import scratch_folder
 
 LEVELS, KEPT = (2, 3), 64  # levels whose names count, and how many of the smallest are kept
 _CHUNK = 1_000_000  # code points parsed together
@@ -199,7 +199,10 @@ def compare_with_next(docs, parts=None):
         if held is not None:
             yield edge(held[0], held[3], "last", held[1], held[2])
 
-    done = materialized(rows.mapInArrow(compare, columns), "fingerprints")
+    # Fingerprints are hex digits: only an entropy coder makes them smaller.
+    path = scratch_folder(spark, "fingerprints")
+    rows.mapInArrow(compare, columns).write.option("compression", "zstd").parquet(path)
+    done = spark.read.parquet(path)
     out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     # Two rows per range: narrow in number, whatever the table's size.
     firsts = done.filter("edge = 'first'").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
