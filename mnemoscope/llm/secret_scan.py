@@ -1,6 +1,6 @@
 """Secret scans: patterns propose candidates, a random forest removes false positives.
 
-Candidates are runs of token characters.  Their features are length, character transitions, dictionary
+Candidates are runs of token characters, and shorter values that are assigned to a secret's name.  Their features are length, character transitions, dictionary
 coverage, whether they are part of a path, and the words next to them.  The forest is trained on labelled
 findings and emitted as one SQL expression over an array of features, so that scanning is a projection: no
 row leaves its task and nothing is joined back.  Only built-in expressions are used.
@@ -16,13 +16,24 @@ from mnemoscope.llm.frames import packed, unpacked
 from mnemoscope.llm.pii import matches
 from mnemoscope.session import materialized
 
-# At least sixteen token characters; possessive, so a long run is read once.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}"
+# At least sixteen token characters, '=' only as padding at their end, or a provider's key of parts between dots;
+# possessive, so a long run is read once.
+CANDIDATE = (r"(?<![A-Za-z0-9_+/-])(?:SG(?:[.][A-Za-z0-9_-]{10,}+){1,2}+|(?:eyJ[A-Za-z0-9_-]{10,}+|glpat-[A-Za-z0-9_-]{10,}+)(?:[.][A-Za-z0-9_-]++){1,4}+|"
+             r"[A-Za-z0-9_+/-]{16,}+(?:={1,2}+(?![A-Za-z0-9_+/=-]))?)")
+POSSIBLE = r"[A-Za-z0-9_+/-]{16}|SG[.]|eyJ|glpat-"
 # Prefixes that providers give their keys.
 PROVIDERS = (r"^(?:AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|xox[abps]-|"
              r"AIza[0-9A-Za-z_-]{35}$|SG[.]|eyJ[A-Za-z0-9_-]{10,})")
 NAMED = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|passphrase|kennwort|contraseña|clave)"
 ASSIGNED = NAMED + r"[a-z_\"']{0,12}[ \t]{0,3}(?:=|:|=>|is)[ \t]{0,3}[\"'`]?$"
+# A secret's name and what assigns a value to it; "is" is prose unless a word with a digit follows.
+_NAMES = (r"(?:token|secret|p(?:assw(?:or)?d|assphrase|wd|rivate[_-]?key)|a(?:pi[_-]?key|ccess[_-]?key|uth)|bearer|"
+          r"c(?:redential|ontrase[ñÑ]a|lave)|kennwort)")  # as NAMED, one letter read before the rest
+ASSIGNMENT = _NAMES + r"[a-z_\"']{0,12}[ \t]{0,3}(?:=>|=|:|is(?=[ \t]{1,3}[\"'`]?[^ \t\r\n]{0,60}[0-9]))[ \t]{0,3}[\"'`]?"
+# What may be assigned: no blanks, quotes, brackets or separators of lists and URLs, no sign of a sentence's end.
+SHORTEST, LONGEST = 4, 200
+_IN = r"[^\s\"'`,;&<>(){}\[\]"
+VALUE = r"^(?![=:>])" + _IN + r"]{" + f"{SHORTEST - 1},{LONGEST - 1}" + r"}" + _IN + r".:?]"
 DIGEST = r"(?:sha-?[0-9]{0,3}|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|integrity)[^ ]{0,4}[ \t:=\"'-]{0,4}$"
 # Common words and word parts of the corpus's languages, whose share tells prose from keys.
 WORD_PARTS = ("tion", "ment", "ing", "the", "and", "that", "with", "have", "from", "this", "able", "ness", "ould", "ight", "ation",
@@ -55,7 +66,14 @@ def _features(value, before, after):
 
 def candidates(text):
     """All candidates of a text column: array of (start, end, features), positions in code points."""
-    found = matches(text, CANDIDATE, text.rlike("[A-Za-z0-9_+/-]{16}"))
+    runs = matches(text, CANDIDATE, text.rlike(POSSIBLE))
+    # Values of secrets' names that no run touches; those of names inside one another's values may coincide.
+    named = F.transform(matches(text, "(?i)" + ASSIGNMENT, F.lit(True)), lambda s: F.struct(s.end.alias("start"), F.regexp_extract(
+        F.substring(text, s.end.cast("int") + 1, F.lit(LONGEST)), VALUE, 0).alias("value")))
+    values = F.transform(F.filter(named, lambda s: s.value != ""), lambda s: F.struct(
+        s.start.alias("start"), (s.start + F.char_length(s.value)).alias("end"), s.value.alias("value")))
+    apart = F.filter(values, lambda s: ~F.exists(runs, lambda r: (r.start < s.end) & (s.start < r.end)))
+    found = F.when(F.lower(text).rlike(ASSIGNMENT), F.array_sort(F.concat(runs, apart))).otherwise(runs)
 
     def one(s):
         before = F.substring(text, F.greatest(s.start - BEFORE, F.lit(0)).cast("int") + 1, F.least(s.start, F.lit(BEFORE)).cast("int"))
@@ -67,8 +85,8 @@ def candidates(text):
 def labelled_findings(docs, bound=20_000, texts=200_000):
     """Findings with a label where the neighbourhood settles it: features, label.
 
-    A key with a provider's prefix, or one assigned to a secret's name, is a secret (1.0); one that follows
-    the name of a digest, lies in a path or is mostly dictionary words under no such name is none (0.0); others are
+    A key with a provider's prefix, or one assigned to a secret's name, is a secret (1.0), unless it is a
+    short value of letters only, which may be prose; one that follows the name of a digest, lies in a path or is mostly dictionary words under no such name is none (0.0); others are
     left out.  Taken from about ``texts`` documents, and at most about ``bound`` findings are kept.  Use this
     where no reviewed findings are at hand.
     """
@@ -76,7 +94,8 @@ def labelled_findings(docs, bound=20_000, texts=200_000):
     some = docs.filter(F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = some.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c")).select("c.features")
     at = {name: F.col("features")[i] for i, name in enumerate(FEATURES)}
-    label = (F.when((at["provider"] == 1) | ((at["assigned"] == 1) & (at["in_path"] == 0)), 1.0)
+    prose = (at["length"] < 16) & (at["longest_letters"] == at["length"])
+    label = (F.when((at["provider"] == 1) | ((at["assigned"] == 1) & (at["in_path"] == 0) & ~prose), 1.0)
              .when((at["digest_word"] == 1) | (at["in_path"] == 1), 0.0)
              .when((at["named"] == 0) & (at["digit_share"] < 0.05) & (at["hex"] == 0), 0.0))
     found = materialized(rows.withColumn("label", label).filter("label IS NOT NULL"), "secret-findings")
