@@ -16,6 +16,10 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+"
 
+# Where an account number can begin; the longest has 34 characters with a blank before each of the last 30.
+ACCOUNT_BEGINS = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:[ ]?[A-Z0-9]){11})"
+ACCOUNT_WIDTH = 64 + 1
+
 # Fixed order of the kinds in digests.
 KINDS = ("email", "ip", "card", "phone", "iban")
 # What each pattern and its checks are worth before the neighbourhood is read.
@@ -79,6 +83,30 @@ def _stands_alone(text, span):
     return ~F.concat(before, after).rlike("[A-Za-z0-9]")
 
 
+def account_spans(text):
+    """Account numbers of a text column: array of (start, end, value), value without what follows the number.
+
+    Every place where one can begin is tried by itself.  Of what the pattern takes from there, the longest
+    part that ends with a group, has 15 to 34 letters and digits and passes mod-97 is the number; capitals
+    or digits after a blank do not belong to it.  Numbers do not overlap: the one that begins first stays.
+    """
+    begins = matches(text, ACCOUNT_BEGINS, F.lit(True))
+
+    def longest(s):
+        rest = F.substring(text, s.start.cast("int") + 1, F.lit(ACCOUNT_WIDTH))
+        groups = F.split(F.regexp_extract(rest, "^" + IBAN, 0), " ")
+        parts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.struct(
+            s.start.alias("start"), (s.start + F.char_length(F.array_join(F.slice(groups, 1, i), " "))).alias("end"),
+            F.array_join(F.slice(groups, 1, i), " ").alias("value")))
+        fits = F.filter(parts, lambda p: F.char_length(F.regexp_replace(p.value, " ", "")).between(15, 34)
+                        & _stands_alone(text, p) & mod97(p.value))
+        return F.slice(F.reverse(fits), 1, 1)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    found = F.aggregate(F.flatten(F.transform(begins, longest)), none, lambda kept, p: F.when(
+        (F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)).end > p.start), kept).otherwise(F.concat(kept, F.array(p))))
+    return F.when(text.rlike(ACCOUNT_BEGINS), found).otherwise(none)
+
+
 def _scored(text, spans, kind):
     """Spans of one kind with a score: words before a span raise or lower it."""
     def one(s):
@@ -117,7 +145,7 @@ def find(docs, text="text"):
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     base = base_spans(whole)
-    accounts = F.filter(matches(whole, IBAN, whole.rlike("[A-Z]{2}[0-9]{2}")), lambda s: _stands_alone(whole, s) & mod97(s.value))
+    accounts = account_spans(whole)
     first = F.concat(*[_scored(whole, spans, kind) for kind, spans in base.items()])
     rows = packed(docs, _base=first, _more=_scored(whole, accounts, "iban"))
     return unpacked(rows, docs.columns, base_spans=F.col("_base"), pii_spans=F.concat("_base", "_more"))

@@ -64,6 +64,18 @@ def test_accounts_context_and_redaction(spark):
     assert rows[5].redacted == "mail [email], [ip]"
 
 
+def test_accounts_before_capitals_and_digits(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases_of = [(f"IBAN {de} BIC COBADEFFXXX", [de]), ("GB82WEST12345698765432 OR 5 MORE", ["GB82WEST12345698765432"]), (f"{de} A", [de]),
+                (f"{gb} BIC NWBKGB2L", [gb]), (f"{de} {gb} X", [de, gb]), (f"😀 AB12 {de}", [de]), (f"{de}X", []), (f"X{de} 1", []),
+                (f"{de[:-1]}1 BIC COBADEFFXXX", []), ("MT84MALT011000012345MTLCAST001S 7", ["MT84MALT011000012345MTLCAST001S"])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases_of)], "doc_id int, text string")
+    for row in pii.redact(docs).collect():
+        want = cases_of[row.doc_id][1]
+        assert [row.text[s.start:s.end] for s in row.pii_spans if s.kind == "iban"] == want, row.text
+        assert row.redacted.count("[iban]") == len(want) and not any(w in row.redacted for w in want)
+
+
 def test_query_counts_and_hash(spark):
     if not cases.has_tables():
         return
