@@ -137,3 +137,20 @@ def test_signatures_estimate_probability_jaccard():
     x, y = near_dedup.signatures([(a, ones(a)), (b, ones(b))], 4096)
     assert abs((x == y).mean() - 240 / 360) < 0.03
     assert near_dedup.signatures([(a[:1], ones(a[:1]))], 64).tolist() == [[int(a[0])] * 64]
+
+
+def test_texts_that_repeat_other_shingles_share_a_bucket(spark):
+    rng = random.Random(11)
+    docs, pairs = [], 40
+    for i in range(pairs):
+        words = cases.prose(rng, 60).split()
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:34] * 100 + words))]
+    sketched = near_dedup.sketches(spark.createDataFrame([(str(d).encode(), t) for d, t in docs], "node binary, text string"))
+    buckets = {int(bytes(r.node)): (r.n_shingles, set(r.buckets)) for r in sketched.collect()}
+    sets = {d: shingles(t) for d, t in docs}
+    for i in range(pairs):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        assert len(a & b) >= 0.8 * len(a | b)
+        # The bands of the set's own signature are what proposes, so far more than one is shared.
+        assert len(buckets[2 * i][1] & buckets[2 * i + 1][1]) >= 2
+    assert all(len(buckets[2 * i][1]) == 25 < len(buckets[2 * i + 1][1]) for i in range(pairs))
