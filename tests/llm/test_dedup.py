@@ -154,3 +154,47 @@ def test_texts_that_repeat_other_shingles_share_a_bucket(spark):
         # The bands of the set's own signature are what proposes, so far more than one is shared.
         assert len(buckets[2 * i][1] & buckets[2 * i + 1][1]) >= 2
     assert all(len(buckets[2 * i][1]) == 25 < len(buckets[2 * i + 1][1]) for i in range(pairs))
+
+
+def templates():
+    """Families of texts of one frame with slots, alike by about 0.8: links between followers hold classes together."""
+    rng, texts = random.Random(2), []
+    for family in range(4):
+        frame = cases.prose(rng, 200).split()
+        slots = sorted(rng.sample(range(0, 200, 10), 6))
+        options = {s: [f"slot{family}x{s}x{k}" for k in range(4)] for s in slots}
+        for _ in range(70):
+            words = list(frame)
+            for s in slots:
+                words[s] = rng.choice(options[s])
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_untried_pairs_of_a_bucket_are_found(spark):
+    import pandas as pd
+    import pyspark.sql.functions as F
+
+    texts = sorted(set(templates()))
+    node = {t: str(i).zfill(4).encode() for i, t in enumerate(texts)}
+    table = spark.createDataFrame(pd.DataFrame({"node": list(node.values()), "text": list(node)}), "node binary, text string")
+    shared = table.select(F.lit(1).cast("bigint").alias("bucket"), "node", F.lit(196).cast("bigint").alias("n"))
+    sets = {t: shingles(t) for t in texts}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {(node[a], node[b]) for i, a in enumerate(texts) for b in texts[i + 1:] if similar(a, b)}
+    tried = set(sorted(want)[::7])
+    nothing = spark.createDataFrame([], "node binary, label binary")
+    rest = near_dedup._untried(shared, nothing, [spark.createDataFrame(sorted(tried), "a binary, b binary")], table, 5, 0.8)
+    got = {(bytes(r.a), bytes(r.b)) for r in rest.collect()}
+    assert want - tried <= got and not got & tried and want - tried
+    # Pairs of one class are left out, those of its members with others are not.
+    one = [node[t] for t in texts[:100]]
+    labels = spark.createDataFrame([(n, one[0]) for n in one], "node binary, label binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dedup._untried(shared, labels, [], table, 5, 0.8).collect()}
+    assert {p for p in want if not (p[0] in one and p[1] in one)} <= got and not any(a in one and b in one for a, b in got)
+
+
+def test_classes_of_templates_equal_brute_force(spark):
+    docs = spark.createDataFrame(cases.rows(templates()), cases.SCHEMA)
+    got = sorted((r.doc_id, r.class_id, r.n_docs) for r in near_dedup.classes(docs).collect())
+    assert got == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
