@@ -20,3 +20,11 @@ def documents(spark, folder):
 
 def labels(spark, folder):
     return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def conversations(spark, folder):
+    return spark.read.parquet(f"{folder}/conversations.parquet")
+
+
+def benchmark(spark, folder):
+    return spark.read.parquet(f"{folder}/benchmark.parquet")

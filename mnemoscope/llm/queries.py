@@ -4,10 +4,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from mnemoscope.llm import (
-    bpe, fingerprints, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts, toxicity)
-from mnemoscope.llm.catalog import ORACLES, QUERIES, documents, labels, query  # noqa: F401
+    bpe, fingerprints, lexical_search, line_dedup, mixing, near_dedup, packing, pii, prefix_trie, quality_rules, secret_scan, token_counts,
+    toxicity)
+from mnemoscope.llm.catalog import ORACLES, QUERIES, benchmark, conversations, documents, labels, query  # noqa: F401
 
-RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+RANKS, PIECES, VOCABULARY = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -126,3 +127,61 @@ def op10(spark, folder):
     return found.select("doc_id", F.size("candidates").cast("bigint").alias("n_candidates"),
                         F.size("secrets").cast("bigint").alias("n_secrets"), spans.alias("secrets"),
                         F.coalesce(F.array_max(F.transform("candidates", lambda s: s.score)), F.lit(0.0)).alias("top_score"))
+
+
+# The cyclic redundancy check has no function in DuckDB: eight steps for every digit of the id.
+_CRC_BIT = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+
+@query("op11_prefix_trie", sql=f"""
+    WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, strlen(coalesce(text, '')) AS bytes
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT DISTINCT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+        lambda crc, d: list_reduce([CAST(0 AS BIGINT) for b in range(8)], lambda v, b: {_CRC_BIT}, xor(crc, d)), CAST(4294967295 AS BIGINT))) % 9 AS h FROM own),
+    head AS (SELECT convs.c, o.i AS d, turn, bytes, h FROM convs JOIN own o ON o.c = base AND o.i <= h),
+    heads AS (SELECT c, count(*) AS n FROM head GROUP BY c),
+    turns AS (SELECT c, d, turn, bytes FROM head UNION ALL
+      SELECT o.c, o.i - h + coalesce(n, 0), turn, bytes FROM own o JOIN convs USING (c) LEFT JOIN heads USING (c) WHERE o.i > h),
+    sized AS (SELECT convs.c, count(d) AS n FROM convs LEFT JOIN turns USING (c) GROUP BY convs.c),
+    paths AS (SELECT c, d, sha256(string_agg(turn, ',') OVER (PARTITION BY c ORDER BY d)) AS k, bytes FROM turns
+      UNION ALL SELECT c, 0, 'root', 0 FROM convs),
+    nodes AS (SELECT k, d, min(c) AS c, count(*) AS m, any_value(bytes) AS bytes,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '')) AS ends FROM paths JOIN sized USING (c) GROUP BY k, d),
+    edges AS (SELECT DISTINCT b.k, a.k AS parent FROM paths a JOIN paths b ON a.c = b.c AND b.d = a.d + 1),
+    below AS (SELECT DISTINCT a.k, b.k AS inner_k FROM paths a JOIN paths b ON a.c = b.c AND b.d >= a.d),
+    fans AS (SELECT parent AS k, count(*) AS n FROM edges GROUP BY parent),
+    sums AS (SELECT below.k, count(*) FILTER (f.n IS NULL) AS leaves, sum((x.m - 1) * x.bytes) AS saved
+      FROM below JOIN nodes x ON x.k = inner_k LEFT JOIN fans f ON f.k = inner_k GROUP BY below.k)
+    SELECT nodes.c AS conv_id, nodes.d AS depth, p.c AS parent_conv_id, nodes.m AS n_convs, coalesce(f.n, 0) AS n_children,
+      leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+    FROM nodes JOIN sums USING (k) LEFT JOIN fans f USING (k) LEFT JOIN edges USING (k) LEFT JOIN nodes p ON p.k = parent""")
+def op11(spark, folder):
+    """The prefix trie of all conversations, each rebuilt with the head of its base."""
+    return prefix_trie.trie(conversations(spark, folder))
+
+
+@query("op12_packing")
+def op12(spark, folder):
+    """Pieces of all documents in sequences of binary lengths."""
+    vocabulary = public_tokenizers.path(VOCABULARY)
+    pieces = packing.pack(documents(spark, folder), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, packing.special_tokens(vocabulary))
+    return pieces.drop("token_ids")
+
+
+@query("op13_lexical_search", sql=r"""
+    WITH terms AS (SELECT doc_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM (SELECT *, row_number() OVER () AS r FROM documents)),
+    wanted AS (SELECT DISTINCT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM (SELECT *, row_number() OVER () AS q FROM benchmark)),
+    lengths AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY r),
+    total AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+    tfs AS (SELECT r, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY term),
+    scores AS (SELECT q, item_id, doc_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * documents) // length)))) AS BIGINT) AS score
+      FROM tfs JOIN wanted USING (term) JOIN weights USING (term) JOIN lengths USING (r), total GROUP BY q, item_id, doc_id, r)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50""")
+def op13(spark, folder):
+    """The best documents of every benchmark item."""
+    return lexical_search.search(documents(spark, folder), benchmark(spark, folder))
