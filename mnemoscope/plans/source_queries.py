@@ -90,4 +90,4 @@ def t02(spark, folder):
         arrived.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(source)
         stream, _ = jsonl.stream_jsonl(spark, source, ddl)
         I.ingest_unique(stream, ["event_id"], target, checkpoint).awaitTermination()
-    return spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("records"), F.sum("event_id").alias("ids"))
+    return I.stored(spark, target).groupBy("event_type").agg(F.count(F.lit(1)).alias("records"), F.sum("event_id").alias("ids"))

@@ -1,21 +1,29 @@
-"""Incremental run counters: the additive part of the report as a streaming aggregation."""
+"""Incremental run counters: the additive part of the report, kept up to date by a stream."""
 
 from pyspark.sql import functions as F
 
-from mnemoscope.functions.ratio import count_where, ratio
+from mnemoscope.functions.ratio import ratio
 from mnemoscope.operators.metrics import CATEGORIES
+from mnemoscope.streaming.levels import Levels
+from mnemoscope.streaming.writers import current_folder, set_current, started, writer_of
 
 
 def counters(outcomes):
-    """Answered, correct, failures and tokens per run; sums and counts only, so batch equals stream.
+    """Answered, correct, failures and tokens per run; sums only, so batch equals stream.
 
-    outcomes: runId, eligible, correct, failureCategory, totalTokens.  Percentiles and variance need
-    all values and stay in batch.
+    outcomes: runId, eligible, correct, failureCategory, totalTokens, and change if there are corrections: 1 adds
+    an outcome, -1 takes one back (a score that is withdrawn or replaced).  Percentiles and variance need all
+    values and stay in batch.
     """
+    change = F.col("change").cast("bigint") if "change" in outcomes.columns else F.lit(1).cast("bigint")
+
+    def where(condition):
+        return F.sum(F.when(condition, change).otherwise(0))
+
     return outcomes.groupBy("runId").agg(
-        F.count(F.lit(1)).alias("total"), count_where(F.col("eligible")).alias("answered"),
-        count_where(F.col("correct")).alias("correct"), F.sum("totalTokens").alias("totalTokens"),
-        *[count_where(F.col("failureCategory") == c).alias(c) for c in CATEGORIES])
+        F.sum(change).alias("total"), where(F.col("eligible")).alias("answered"), where(F.col("correct")).alias("correct"),
+        F.sum(F.col("totalTokens") * change).alias("totalTokens"),
+        *[where(F.col("failureCategory") == c).alias(c) for c in CATEGORIES])
 
 
 def with_rates(counted):
@@ -23,20 +31,27 @@ def with_rates(counted):
             .withColumn("completionRate", ratio("answered", "total")))
 
 
-def maintain(counted, target, checkpoint, once=True):
-    """Keep the latest counters of every run: each batch writes the runs it changed.
+def _summed(parts):
+    return parts.groupBy("runId").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "runId"])
+
 
-    ``latest`` reads the current state back.
+def maintain(outcomes, target, checkpoint, once=True):
+    """Keep the counters of every run: each batch of a stream of outcomes adds its own sums.
+
+    Sums merge level by level, so neither a batch nor ``latest`` reads more than a few folders, and no state is held.  A
+    batch that is tried again replaces what it wrote; with a new checkpoint the counters begin anew.  A run
+    whose outcomes have all been taken back stays with zeros.
     """
+    spark = outcomes.sparkSession
+    writer = writer_of(spark, checkpoint)
+    set_current(spark, target, writer)
+
     def write(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(target)
-    writer = counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
-    return writer.trigger(availableNow=True).start() if once else writer.start()
+        Levels(batch.sparkSession, f"{target}/{writer}", _summed).add(counters(batch), number)
+
+    return started(outcomes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
 def latest(spark, target):
-    """The newest counters of each run; a batch replayed after a failure only repeats its rows."""
-    rows = spark.read.parquet(target)
-    columns = [c for c in rows.columns if c not in ("runId", "batch")]
-    newest = rows.groupBy("runId").agg(F.max_by(F.struct(*columns), "batch").alias("x"))
-    return newest.select("runId", "x.*")
+    """The counters of each run after the last batch."""
+    return Levels(spark, current_folder(spark, target), _summed).read()
