@@ -101,6 +101,20 @@ def p02_paths(spark, folder):
     return X.gold_leaks(rows, "seq", "payload")
 
 
+@query("p02_leaks_among_quotes", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['facts'] ELSE ['evidenceids', 'expected'] END AS names FROM documents WHERE doc_id % 3 < 2""")
+def p02_quotes(spark, folder):
+    """Every whole text as a value, once with quotes around each word, and keys that begin with a colon or hide in escapes."""
+    text = F.coalesce("text", F.lit(""))
+    quoted = F.concat(F.lit('"facts": '), F.regexp_replace(text, r"\\w+", '"$0":'))
+    values = [text.alias("text"), quoted.alias("quoted"), F.array(quoted, F.lit(':"')).alias("list")]
+    case = F.pmod("doc_id", F.lit(3))
+    # An escape that stands for a letter cannot come out of a JSON writer, so it is put in afterwards.
+    hidden = F.replace(F.to_json(F.struct(*values, F.struct(F.lit(1).alias("evidence ids")).alias('say "Expected"'))), F.lit("evidence ids"), F.lit("\\u0065vidence_ids"))
+    payload = (F.when(case == 0, F.to_json(F.struct(*values, F.array().alias(":facts")))).when(case == 1, F.replace(hidden, F.lit("say "), F.lit("")))
+               .otherwise(F.to_json(F.struct(*values))))
+    return X.leaking_rows(T.table(spark, folder, "documents").select("doc_id", payload.alias("payload")), "doc_id", "payload")
+
+
 @query("p03_projection_differences", """SELECT c_custkey, unnest(['missing or changed', 'not in the projection']) AS problem FROM customer WHERE c_acctbal < 0""")
 def p03(spark, folder):
     view = T.table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -109,6 +123,35 @@ def p03(spark, folder):
     return X.projection_differences(view, given, ["c_custkey"])
 
 
+@query("p03_typed_differences", """WITH c AS (SELECT *, c_custkey % 7 AS k FROM customer)
+ SELECT c_custkey, '$.name' AS path, 'type' AS problem, 'integer' AS found, 'string' AS wanted FROM c WHERE k = 1
+ UNION ALL SELECT c_custkey, '$.lines', 'length', '2', '3' FROM c WHERE k = 2
+ UNION ALL SELECT c_custkey, '$.lines[1].segment', 'value', '"other"', '"' || c_mktsegment || '"' FROM c WHERE k = 2
+ UNION ALL SELECT c_custkey, '$.home.extra', 'extra', 'null', NULL FROM c WHERE k = 3
+ UNION ALL SELECT c_custkey, '$.home.nation', 'missing', NULL, 'integer' FROM c WHERE k = 4
+ UNION ALL SELECT c_custkey, '$.lines[2].one', 'type', 'number', 'integer' FROM c WHERE k = 5
+ UNION ALL SELECT c_custkey, '$.lines[0]', 'type', 'null', 'boolean' FROM c WHERE k = 5""")
+def p03_typed(spark, folder):
+    """Documents of nested members, arrays and numbers, changed in type, value, length and members; their order says nothing."""
+    k = F.pmod("c_custkey", F.lit(7))
+
+    def document(name, first, second, third, nation, extra):
+        home = F.concat_ws(",", nation, extra, F.concat(F.lit('"balance":'), F.col("c_acctbal").cast("string")))
+        return F.parse_json(F.concat(F.lit('{"lines":['), F.concat_ws(",", first, second, third), F.lit('],"home":{'), home, F.lit('},"name":'), name, F.lit("}")))
+
+    def line(text):
+        return F.concat(F.lit('{"segment":"'), text, F.lit('"}'))
+
+    name, nation = F.concat(F.lit('"'), "c_name", F.lit('"')), F.concat(F.lit('"nation":'), "c_nationkey")
+    one, nothing = F.lit('{"one":1}'), F.lit(None).cast("string")
+    wanted = document(name, F.lit("true"), line(F.col("c_mktsegment")), one, nation, nothing)
+    given = document(F.when(k == 1, F.col("c_custkey").cast("string")).otherwise(name), F.when(k == 5, "null").otherwise(F.lit("true")),
+                     line(F.when(k == 2, "other").otherwise(F.col("c_mktsegment"))), F.when(k == 2, nothing).when(k == 5, '{"one":1.0}').otherwise(one),
+                     F.when(k != 4, nation), F.when(k == 3, F.lit('"extra":null')))
+    rows = T.table(spark, folder, "customer").select("c_custkey", given.alias("given"), wanted.alias("wanted_document"))
+    return X.typed_differences(rows, ["c_custkey"], "given", "wanted_document")
+
+
 @query("p11_agent_inputs", """SELECT role, count(*) AS violations FROM conversations WHERE role <> 'user' GROUP BY 1""")
 def p11(spark, folder):
     body = F.parse_json(F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("turnId"), "role", "text")))
