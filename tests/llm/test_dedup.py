@@ -171,27 +171,30 @@ def templates():
     return texts
 
 
-def test_untried_pairs_of_a_bucket_are_found(spark):
-    import pandas as pd
-    import pyspark.sql.functions as F
-
-    texts = sorted(set(templates()))
-    node = {t: str(i).zfill(4).encode() for i, t in enumerate(texts)}
-    table = spark.createDataFrame(pd.DataFrame({"node": list(node.values()), "text": list(node)}), "node binary, text string")
-    shared = table.select(F.lit(1).cast("bigint").alias("bucket"), "node", F.lit(196).cast("bigint").alias("n"))
-    sets = {t: shingles(t) for t in texts}
-    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    want = {(node[a], node[b]) for i, a in enumerate(texts) for b in texts[i + 1:] if similar(a, b)}
-    tried = set(sorted(want)[::7])
-    nothing = spark.createDataFrame([], "node binary, label binary")
-    rest = near_dedup._untried(shared, nothing, [spark.createDataFrame(sorted(tried), "a binary, b binary")], table, 5, 0.8)
-    got = {(bytes(r.a), bytes(r.b)) for r in rest.collect()}
-    assert want - tried <= got and not got & tried and want - tried
-    # Pairs of one class are left out, those of its members with others are not.
-    one = [node[t] for t in texts[:100]]
-    labels = spark.createDataFrame([(n, one[0]) for n in one], "node binary, label binary")
-    got = {(bytes(r.a), bytes(r.b)) for r in near_dedup._untried(shared, labels, [], table, 5, 0.8).collect()}
-    assert {p for p in want if not (p[0] in one and p[1] in one)} <= got and not any(a in one and b in one for a, b in got)
+def test_tried_pairs_are_not_tried_again(spark):
+    tried = near_dedup._Tried(spark)
+    frame = lambda pairs: spark.createDataFrame([(a.encode(), b.encode()) for a, b in pairs], tried.SCHEMA)
+    assert tried.new(frame(["ab", "cd"])).count() == 2
+    tried.add(frame(["ab", "cd"]))
+    assert tried.add(tried.new(frame(["ab", "ef"]))).count() == 1
+    assert [(bytes(r.a), bytes(r.b)) for r in tried.new(frame(["cd", "ef", "gh"])).collect()] == [(b"g", b"h")]
+
+
+def test_recall_of_links_among_templates(spark):
+    """Links of one in five documents to all others end in one class."""
+    rng, texts = random.Random(21), []
+    for family in range(6):
+        frame = cases.prose(rng, 150).split()
+        for _ in range(60):
+            words = list(frame)
+            for s in rng.sample(range(0, 150, 6), rng.choice((2, 3, 4, 5))):
+                words[s] = f"slot{family}x{s}x{rng.randrange(3)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(cases.rows(texts), cases.SCHEMA)
+    label = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(0, len(texts), 5) for j in range(len(texts)) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 150 and sum(label[i] == label[j] for i, j in links) >= 0.9 * len(links)
 
 
 def test_classes_of_templates_equal_brute_force(spark):
