@@ -23,7 +23,7 @@ from mnemoscope.llm.worker import Memo, for_task
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-WORDS, CHECKS, STATES = 700_000, 300_000, 200_000  # what a worker remembers at most
+WORDS, CHECKS, STATES = 350_000, 150_000, 100_000  # what a worker remembers at most
 
 
 class _State(dict):
