@@ -2,8 +2,8 @@
 
 Features are lexicon densities, closeness of lexicon words to the second person, capitals, punctuation and
 obfuscation rates, taken from the whole text in one Arrow pass.  The lexicon is a fixed list plus word stems that
-the labelled sample shows to be toxic.  Trees are fitted on one part of the labelled rows, calibration on
-another; both are Spark ML models, so scores are computed in the JVM.
+the labelled sample shows to be toxic.  Trees are fitted on the labelled rows, calibration on margins
+that are cross-fitted over their folds; both are Spark ML models, so scores are computed in the JVM.
 """
 
 import re
@@ -121,15 +121,16 @@ def labelled_sample(docs, labels, label="toxic", bound=20_000, folds=(0, 1, 3)):
             .agg(F.max(label).cast("double").alias("label")).withColumn("fold", fold)
             .filter(F.col("fold").isin(*folds)))
     share = min(1.0, bound / max(1, rows.count()))
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # A share of the hash's whole range: as fine as 64 bits, so no table is so large that nothing is chosen.
+    chosen = rows.filter(F.xxhash64(F.lit("sample"), "doc_id") / F.lit(2.0**64) + 0.5 < share)
     # Bounded by ``bound`` narrow rows.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def learned_stems(sample, least=6, ratio=25.0, most=500):
+def learned_stems(sample, least=6, ratio=25.0):
     """Beginnings of words (3 to 9 letters) that the labelled sample shows to be toxic: in toxic texts they make
     up at least ``ratio`` times the share of words that they have in others, and at least ``least`` toxic texts hold
-    such words.  Of a stem and its extensions only the shortest counts; at most ``most``, by evidence."""
+    such words.  Of a stem and its extensions only the shortest counts.  The sample bounds how many there are."""
     words = (sample.select("label", F.monotonically_increasing_id().alias("text_id"),
                            F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
              .filter(F.length("word") >= 3).groupBy("word").agg(
@@ -144,13 +145,11 @@ def learned_stems(sample, least=6, ratio=25.0, most=500):
                  F.sum("texts").alias("texts"))
              .filter((F.col("texts") >= least) & (F.col("in_toxic") >= 2 * least)
                      & (F.col("in_toxic") * clean >= ratio * toxic * (F.col("in_clean") + 1))))
-    found = stems.orderBy(F.desc("in_toxic"), "stem").limit(20 * most).select("stem").collect()
     chosen = set()
-    for stem in sorted((r.stem for r in found), key=len):
+    for stem in sorted((r.stem for r in stems.select("stem").collect()), key=len):
         if not any(stem[:n] in chosen for n in range(3, len(stem))):
             chosen.add(stem)
-    order = [r.stem for r in found if r.stem in chosen]
-    return order[:most]
+    return sorted(chosen)
 
 
 class Model:
@@ -176,30 +175,45 @@ class Model:
             "_row", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("_score"))
 
 
-def fit(docs, labels, label="toxic", bound=20_000, held_out=2, calibrate=3, trees=25, depth=4):
+def _calibration(margins):
+    """Isotonic regression of labels on cross-fitted margins; equal margins are one point with their number as weight.
+
+    One more example of either kind, at the ends of the margins, keeps shares of few positives off 0 and 1.
+    """
+    points = margins.groupBy("margin").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    low, high = margins.agg(F.min("margin"), F.max("margin")).first()
+    ends = margins.sparkSession.createDataFrame([(low - 1.0, 0.0, 1.0), (high + 1.0, 1.0, 1.0)], "margin double, label double, weight double")
+    return IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(points.unionByName(ends))
+
+
+def fit(docs, labels, label="toxic", bound=20_000, held_out=2, trees=25, depth=4):
     """Fit on at most about ``bound`` labelled rows; those of fold ``held_out`` are never read.
 
-    Only the text of a row enters its features.  Without labels of both kinds the model gives every document
-    the share of label 1, or 0 if there is no label.
+    Only the text of a row enters its features.  The trees are fitted on all other folds; their calibration on margins
+    that each of these folds gets from trees fitted on the rest, so every labelled row counts in both.  Without labels
+    of both kinds the model gives every document the share of label 1, or 0 if there is no label.
     """
     folds = [f for f in range(4) if f != held_out]
     sample = materialized(labelled_sample(docs, labels, label, bound, folds), "toxicity-sample")
-    words = learned_stems(sample.filter(F.col("fold") != calibrate))
+    words = learned_stems(sample)
     rows = materialized(sample.select("label", "fold", array_to_vector(features_of(F.col("text"), words)).alias("features")),
                         "toxicity-features").cache()
     kinds = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, everything = sum(n for (_, v), n in kinds.items() if v == 1), sum(kinds.values())
-    fitted = {v for (f, v) in kinds if f != calibrate}
-    if len(fitted) < 2:
+    if len({v for _, v in kinds}) < 2:
         return Model(words, None, None, ones / everything if everything else 0.0)
+    # A leaf of five needs more than a few rows of the rarer label.
+    leaf = max(1, min(5, min(ones, everything - ones) // 10))
     booster = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2,
-                            minInstancesPerNode=5, subsamplingRate=0.8, seed=7)
-    model = booster.fit(rows.filter(F.col("fold") != calibrate))
-    margin = model.transform(rows.filter(F.col("fold") == calibrate)).select(
-        "label", vector_to_array("rawPrediction")[1].alias("margin"))
-    calibration = None
-    if {v for (f, v) in kinds if f == calibrate} == {0.0, 1.0}:
-        calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin)
+                            minInstancesPerNode=int(leaf), subsamplingRate=0.8, seed=7)
+    margins = None
+    for fold in folds:
+        if len({v for f, v in kinds if f != fold}) == 2 and any(f == fold for f, _ in kinds):
+            fitted = booster.fit(rows.filter(F.col("fold") != fold))
+            part = fitted.transform(rows.filter(F.col("fold") == fold)).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+            margins = part if margins is None else margins.unionByName(part)
+    calibration = None if margins is None else _calibration(materialized(margins, "toxicity-margins"))
+    model = booster.fit(rows)
     rows.unpersist()
     return Model(words, model, calibration, ones / everything)
 
