@@ -91,12 +91,15 @@ def labelled_findings(docs, bound=20_000, texts=200_000):
     where no reviewed findings are at hand.
     """
     share = min(1.0, texts / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64(F.lit("secrets"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # A share of the hash's whole range: as fine as 64 bits, so no table is so large that nothing is chosen.
+    some = docs.filter(F.xxhash64(F.lit("secrets"), "doc_id") / F.lit(2.0**64) + 0.5 < share)
     rows = some.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c")).select("c.features")
     at = {name: F.col("features")[i] for i, name in enumerate(FEATURES)}
     prose = (at["length"] < 16) & (at["longest_letters"] == at["length"])
     label = (F.when((at["provider"] == 1) | ((at["assigned"] == 1) & (at["in_path"] == 0) & ~prose), 1.0)
              .when((at["digest_word"] == 1) | (at["in_path"] == 1), 0.0)
+             # Card, telephone and order numbers: digits alone are no secret unless they are assigned to one's name.
+             .when((at["digit_share"] == 1) & (at["assigned"] == 0), 0.0)
              .when((at["named"] == 0) & (at["digit_share"] < 0.05) & (at["hex"] == 0), 0.0))
     found = materialized(rows.withColumn("label", label).filter("label IS NOT NULL"), "secret-findings")
     n = found.count()
