@@ -1,3 +1,6 @@
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
 from mnemoscope.operators import curves as V
@@ -7,41 +10,64 @@ REPORT = ("manifestHash string, arrival int, scale int, fixtureHash string, dete
           "adapter string, model string")
 
 
-def reports(spark, extra=()):
-    rows = [(f"m{s}", i, s, f"fx{s}", False, c, a, 10, "a", "m") for i, (s, a, c) in enumerate(((10, 10, 10), (100, 5, 5), (500, 10, 5), (1000, 0, 0)))]
-    return spark.createDataFrame([*rows, *extra], REPORT)
-
+SCALES = (10, 100, 500, 1000)
 
-def test_accuracy_and_completion_are_separate_lines_with_gaps(spark):
-    made = jobs.compare_reports(reports(spark))
-    points = made["points"].orderBy("scale").collect()
-    assert [p.accuracy for p in points] == [1.0, 1.0, 0.5, None] and [p.completionRate for p in points] == [1.0, 0.5, 1.0, 0.0]
-    assert [(r.scale, r.command) for r in made["accuracyLines"].orderBy("scale").collect()] == [(10, "M"), (100, "L"), (500, "L")]
-    assert made["completionLines"].count() == 4 and made["missingScales"].isEmpty() and made["violations"].isEmpty()
 
+def fleet(seed):
+    """Reports of several adapters, each over some scales and some of them repeated; some answer nothing."""
+    rng, rows = random.Random(seed), []
+    for adapter in ("fern", "moss", "reed"):
+        for scale in rng.sample(SCALES, rng.choice((2, 3, 4))):
+            for _ in range(rng.choice((1, 1, 2, 3))):
+                total = rng.randrange(20, 60)
+                answered = rng.choice((0, rng.randrange(1, total)))
+                rows.append((f"h{len(rows)}", len(rows), scale, f"fixture-{scale}", {"fern": False, "moss": None, "reed": True}[adapter],
+                             rng.randrange(answered + 1), answered, total, adapter, "one"))
+    return rows
 
-def test_a_gap_starts_a_new_segment(spark):
-    rows = spark.createDataFrame([("s", 1, 10, 1.0), ("s", 1, 500, 0.5), ("s", 1, 1000, 0.4)], "seriesId string, repeat int, scale int, accuracy double")
-    lines = V.segments(rows, "accuracy").orderBy("scale").collect()
-    assert [(r.scale, r.segment, r.command) for r in lines] == [(10, 0, "M"), (500, 1, "M"), (1000, 1, "L")]
 
-
-def test_repeats_stay_points_and_variance_is_separate(spark):
-    made = jobs.compare_reports(reports(spark, [("again", 9, 10, "fx10", False, 0, 10, 10, "a", "m")]))
-    assert made["points"].count() == 5
-    assert [r.repeat for r in made["points"].filter("scale = 10").orderBy("arrival").collect()] == [1, 2]
-    row = made["variance"].filter("scale = 10").first()
-    assert (row.accuracyVariance, row.accuracyCount, row.status) == (0.25, 2, "reported")
-    single = made["variance"].filter("scale = 1000").first()
-    assert (single.accuracyVariance, single.accuracyCount, single.status) == (None, 0, "not-reported")
+def reports(spark, extra=()):
+    rows = [(f"m{scale}", i, scale, f"fixture-{scale}", False, 3 + i, 7, 9, "a", "m") for i, scale in enumerate(SCALES)]
+    return spark.createDataFrame([*rows, *extra], REPORT)
 
 
-def test_configurations_are_series_and_deterministic_models_have_no_variance(spark):
-    other = [("other", 9, 10, "fx10", True, 1, 10, 10, "a", "different"), ("unknown", 10, 100, "fx100", None, 1, 10, 10, "a", "third")]
-    made = jobs.compare_reports(reports(spark, other))
-    assert made["points"].select("seriesId").distinct().count() == 3
-    assert made["variance"].count() == 5
-    assert made["missingScales"].count() == 6
+def test_points_lines_and_variance_equal_plain_counts(spark):
+    for seed in (3, 14):
+        rows = fleet(seed)
+        made = jobs.compare_reports(spark.createDataFrame(rows, REPORT))
+        points = {p.arrival: p for p in made["points"].collect()}
+        assert len(points) == len(rows) and len({p.seriesId for p in points.values()}) == len({r[8] for r in rows})
+        values, repeats = {}, {}
+        for _, arrival, scale, _, _, correct, answered, total, adapter, _ in rows:
+            repeats[adapter, scale] = repeats.get((adapter, scale), 0) + 1
+            value = correct / answered if answered else None
+            assert (points[arrival].accuracy, points[arrival].completionRate, points[arrival].repeat) == (value, answered / total, repeats[adapter, scale])
+            values[points[arrival].seriesId, repeats[adapter, scale], scale] = value
+        # A line goes on where the scale right below has a value in the same repeat, and begins anew elsewhere.
+        want = {}
+        for (series, repeat, scale), value in values.items():
+            below = SCALES[SCALES.index(scale) - 1] if scale != SCALES[0] else None
+            if value is not None:
+                want[series, repeat, scale] = "M" if values.get((series, repeat, below)) is None else "L"
+        assert {(r.seriesId, r.repeat, r.scale): r.command for r in made["accuracyLines"].collect()} == want
+        assert made["missingScales"].count() == sum(len(SCALES) - len({r[2] for r in rows if r[8] == a}) for a in {r[8] for r in rows})
+        spread = {}
+        for (series, _, scale), value in values.items():
+            spread.setdefault((series, scale), []).extend([] if value is None else [value])
+        steady = {points[r[1]].seriesId for r in rows if r[8] == "reed"}
+        variance = {(r.seriesId, r.scale): r for r in made["variance"].collect()}
+        assert set(variance) == {k for k in spread if k[0] not in steady}
+        for key, row in variance.items():
+            found = spread[key]
+            runs = sum((series, scale) == key for series, _, scale in values)
+            assert (row.runs, row.accuracyCount, row.status) == (runs, len(found), "reported" if runs > 1 else "not-reported")
+            assert len(found) < 2 or abs(row.accuracyVariance - statistics.pvariance(found)) < 1e-12
+
+
+def test_segments_count_the_gaps_before_them(spark):
+    rows = spark.createDataFrame([("x", 2, 100, 0.9), ("x", 2, 1000, 0.3), ("x", 1, 10, 0.2), ("x", 1, 100, 0.1)], "seriesId string, repeat int, scale int, accuracy double")
+    got = {(r.repeat, r.scale): (r.segment, r.command) for r in V.segments(rows, "accuracy").collect()}
+    assert got[1, 10][1] == "M" and got[1, 100] == (got[1, 10][0], "L") and got[2, 1000] == (got[2, 100][0] + 1, "M")
 
 
 def test_duplicates_and_odd_scales_are_reported(spark):
