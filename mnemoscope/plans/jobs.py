@@ -6,15 +6,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoscope.functions.ratio import ratio
+from mnemoscope.functions.canonical import struct_digest
+from mnemoscope.functions.ratio import holds, ratio
+from mnemoscope.functions.secret_forms import mask_forms, mask_judge_output
 from mnemoscope.operators import calibration as C
 from mnemoscope.operators import curves as V
 from mnemoscope.operators import generate as G
 from mnemoscope.operators import matching as X
 from mnemoscope.operators import metrics as M
 from mnemoscope.operators.joins import lookup_join
+from mnemoscope.quality.archive_rules import archive_violations
 from mnemoscope.quality.fixture_rules import fixture_violations
 from mnemoscope.quality.framework import assert_valid
+from mnemoscope.session import materialized
+from mnemoscope.sources import published as P
 
 KEY = ["runId", "probeId"]
 RESULT = ["judgment", "correct", "normalizedAnswer", "matchingMethod", "judgeOutput", "goldError"]
@@ -25,7 +30,7 @@ def score_runs(gold, captured, runs, scorer_version, verdicts=None, pinned_model
 
     gold: runId, probeId, answerability, expected; captured: runId, probeId, eligibleForAccuracy, answer,
     category; runs: runId, fixtureHash, manifestHash; verdicts: runId, probeId, output, model for
-    semantic probes.  Check the archive rules first: scoring assumes a clean archive.
+    semantic probes.  Scoring assumes a clean archive; ``score_gated`` checks it first.
     """
     attempt = captured.select(*KEY, "answer", "category", F.col("eligibleForAccuracy").alias("_eligible"), F.lit(True).alias("_captured"))
     rows = gold.join(attempt, KEY, "left").withColumn("eligible", F.coalesce("_eligible", F.lit(False)))
@@ -53,6 +58,88 @@ def score_runs(gold, captured, runs, scorer_version, verdicts=None, pinned_model
     return lookup_join(result, identity, ["runId"], "left", spread=["probeId"]).withColumn("scorerVersion", F.lit(scorer_version))
 
 
+def without_secrets(scores, secrets):
+    """Score rows fit for publication: answers and judge output without secrets in any written form."""
+    return scores.withColumns({"rawAnswer": mask_forms(F.col("rawAnswer"), secrets),
+                               "normalizedAnswer": mask_forms(F.col("normalizedAnswer"), secrets),
+                               "judgeOutput": mask_judge_output(F.col("judgeOutput"), secrets)})
+
+
+@dataclass
+class Archive:
+    """Tables of finished runs, with the columns that ``archive_violations`` and ``score_runs`` name."""
+
+    gold: DataFrame
+    captured: DataFrame
+    requests: DataFrame
+    lifecycle: DataFrame
+    identities: DataFrame | None = None
+
+
+@dataclass
+class Scorer:
+    """What identifies a scorer: its version, the hash of its code, the judge's configuration as text."""
+
+    version: str
+    code_hash: str
+    judge: str | None = None
+    pinned_model: str | None = None
+
+
+def preflight(archive, runs, decisions, canonical=True):
+    """Why runs may not be scored: (runId, reason, detail), each reason once for a run.
+
+    runs: runId, fixtureHash, manifestHash, tokenizer, calibrationSetId; decisions: from ``calibrate``, with
+    calibrationHash.  A run named twice, an archive that breaks rules, a smoke tokenizer in canonical use, and a
+    calibration that did not approve the scorer are reasons.
+    """
+    broken = archive_violations(archive.requests, archive.captured, archive.gold, archive.lifecycle, archive.identities)
+    broken = broken.groupBy(F.col("scope").alias("runId"), F.col("ruleId").alias("reason")).agg(F.min("detail").alias("detail"))
+    twice = runs.groupBy("runId").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "runId", F.lit("manifest").alias("reason"), F.lit("the run is named twice").alias("detail"))
+    approved = decisions.select("calibrationSetId", F.lit(True).alias("_known"), "approved", "rejectionReasons")
+    rows = lookup_join(runs, approved, ["calibrationSetId"], "left", spread=["runId"])
+    calibration = (F.when(F.col("_known").isNull(), "no calibration").when(
+        ~holds(F.col("approved")), F.coalesce(F.array_join("rejectionReasons", "; "), F.lit("not approved"))))
+    smoke = F.when(F.lit(canonical) & holds(F.col("tokenizer") == "characters-smoke"), "characters-smoke gives no canonical results")
+    named = F.explode(F.filter(F.array(
+        F.struct(F.lit("calibration").alias("reason"), calibration.alias("detail")),
+        F.struct(F.lit("tokenizer").alias("reason"), smoke.alias("detail"))), lambda r: r["detail"].isNotNull()))
+    return broken.unionByName(twice).unionByName(rows.select("runId", named.alias("r")).select("runId", "r.*")).distinct()
+
+
+def score_gated(archive, runs, decisions, scorer, path, verdicts=None, secrets=(), canonical=True):
+    """Score the runs that pass all gates and publish their scores under the identity of the scoring.
+
+    The gates are ``preflight``, then that every eligible record could be judged: a run with a missing or
+    malformed verdict is refused whole.  Scores are masked, published in two phases under ``path`` and never
+    replaced: a run scored before by the same scorer and calibration is refused.  Returns the refused runs as
+    (runId, reason, detail); read the scores with ``sources.published.published``.
+    """
+    refused = materialized(preflight(archive, runs, decisions, canonical), "refused")
+    admitted = runs.join(refused.select("runId").distinct(), "runId", "left_anti")
+    basis = decisions.select("calibrationSetId", "calibrationHash")
+    named = lookup_join(admitted, basis, ["calibrationSetId"], "left", spread=["runId"]).select(
+        "runId", "fixtureHash", "manifestHash", struct_digest(
+            "manifestHash", "fixtureHash", F.lit(scorer.version).alias("scorerVersion"), F.lit(scorer.code_hash).alias("scorerHash"),
+            F.lit(scorer.judge).alias("judge"), "calibrationHash", F.lit(canonical).alias("canonical")).alias("identity"))
+    named = materialized(named, "admitted")
+    known = P.identities(runs.sparkSession, path).select("identity")
+    again = named.join(known, "identity", "left_semi")
+    named = named.join(known, "identity", "left_anti")
+    gold = lookup_join(archive.gold, named.select("runId"), ["runId"], "left_semi", spread=["probeId"])
+    scores = materialized(score_runs(gold, archive.captured, named, scorer.version, verdicts, scorer.pinned_model), "scores")
+    unjudged = scores.filter("eligibleForAccuracy AND goldError IS NOT NULL").groupBy("runId").agg(F.min("goldError").alias("detail"))
+    fine = lookup_join(scores, unjudged.select("runId"), ["runId"], "left_anti", spread=["probeId"])
+    rows = lookup_join(without_secrets(fine, secrets), named.select("runId", "identity"), ["runId"], "inner", spread=["probeId"])
+    counts = gold.groupBy("runId").agg(F.count(F.lit(1)).alias("rows"))
+    expected = counts.join(unjudged, "runId", "left_anti").join(named, "runId").groupBy("identity").agg(F.sum("rows").alias("rows"))
+    lost = P.publish_audited(rows.drop("goldError"), path, expected)
+    late = named.join(lost, "identity").select("runId", F.lit("publication").alias("reason"), F.col("reason").alias("detail"))
+    return (refused.unionByName(again.select("runId", F.lit("publication").alias("reason"), F.lit("already published").alias("detail")))
+            .unionByName(unjudged.select("runId", F.lit("verdict").alias("reason"), "detail")).unionByName(late))
+
+
 @dataclass
 class Report:
     """The parts of a report, one row per run unless said otherwise."""
