@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from mnemoscope.functions import jsontype as J
 from mnemoscope.functions.canonical import canonical_json
 from mnemoscope.functions.ratio import holds
-from mnemoscope.operators.archive import duplicates
 from mnemoscope.operators.curves import CURVE_FIELDS
 from mnemoscope.quality.manifest_rules import FOOTPRINT_BYTES, FOOTPRINT_WARNING
 from mnemoscope.quality.framework import all_of
@@ -101,8 +100,7 @@ def bundles(documents, runs, artifacts=None):
 def publish_bundles(rows, path):
     """Publish bundles in two phases; returns (identity, reason) of those refused.  A bundle is one row, so an
     identity that comes twice is refused, and known ones are left as they are."""
-    once = rows.filter("identity IS NOT NULL").select("identity").distinct().withColumn("rows", F.lit(1).cast("bigint"))
-    return P.publish_audited(rows, path, once)
+    return P.publish_audited(rows, path, expected=1)
 
 
 def checked_bundles(rows, artifacts=None):
@@ -140,8 +138,3 @@ def curve_reports(rows):
         F.col("identity").alias("manifestHash"), "runId", J.at(manifest, "$.arrival", "bigint").alias("arrival"), J.at(manifest, "$.scale", "int").alias("scale"),
         J.at(manifest, "$.fixtureHash", "string").alias("fixtureHash"), J.at(manifest, "$.deterministic", "boolean").alias("deterministic"),
         *[J.at(report, f"$.accuracy.{c}", "bigint").alias(c) for c in ("correct", "answered", "total")], *settings)
-
-
-def repeated_bundles(rows):
-    """Identities that a set of bundles holds twice: a duplicate is no repeat."""
-    return duplicates(rows, ["identity"])

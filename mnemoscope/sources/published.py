@@ -40,8 +40,8 @@ def _summary(rows):
 def publish_audited(rows, path, expected=None):
     """Publish the rows of new identities and return the identities refused, with the reason.
 
-    rows: identity and at least one other column; expected: identity and rows, how many each has.  Known
-    identities are left as they are.  What is written is read again: an identity without the expected number of
+    rows: identity and at least one other column; expected: how many rows every identity has, as a number or as
+    a table of identity and rows.  Known identities are left as they are.  What is written is read again: an identity without the expected number of
     rows, or unexpected, stays invisible.  NULL identities are refused.  Rows of one identity are spread over
     files by their hash, so a large one is not one task's.
     """
@@ -53,7 +53,9 @@ def publish_audited(rows, path, expected=None):
     written = spark.read.parquet(f"{path}/rows/_attempt={attempt}")
     found = _summary(written)
     problem = F.lit(None).cast("string")
-    if expected is not None:
+    if isinstance(expected, int):
+        problem = F.when(F.col("rows") != expected, "another number of rows than expected")
+    elif expected is not None:
         wanted = expected.join(known, "identity", "left_anti").select("identity", F.col("rows").alias("_expected"))
         found = found.join(wanted, "identity", "full")
         problem = (F.when(F.col("rows").isNull(), "no rows were written").when(F.col("_expected").isNull(), "unexpected identity")
