@@ -8,7 +8,7 @@ from mnemoscope.plans.archive_queries import REPORTS, reports
 from mnemoscope.plans.catalog import query
 from mnemoscope.plans.metric_queries import VIEWS
 from mnemoscope.session import scratch_folder
-from mnemoscope.sources import published
+from mnemoscope.sources import publish, published
 from mnemoscope.sources import tables as T
 
 
@@ -68,3 +68,17 @@ def job_curves(spark, folder):
  FROM pts WHERE arrival % 7 = 0 OR arrival % 7 = 1 AND scale <> 500""")
 def s08(spark, folder):
     return _published_reports(spark, folder).filter("size(problems) > 0").select("runId", F.array_join("problems", ",").alias("problems"))
+
+
+@query("s10_footprint", """SELECT o_custkey AS bundle, CAST(sum(o_orderkey * 10000) AS BIGINT) AS "artifactSizeBytes", sum(o_orderkey * 10000) > 5000000000 AS warned FROM orders GROUP BY 1""")
+def s10(spark, folder):
+    """Every customer's orders are the files of a bundle."""
+    files = T.table(spark, folder, "orders").select(F.col("o_custkey").alias("bundle"), (F.col("o_orderkey") * 10000).alias("bytes"))
+    return publish.footprint(files).select("bundle", "artifactSizeBytes", (F.size("warnings") > 0).alias("warned"))
+
+
+@query("a26_file_set_hash", """SELECT p_brand AS bundle, sha256(string_agg(p_partkey || chr(0) || sha256(p_name), chr(10) ORDER BY p_partkey || chr(0) || sha256(p_name))) AS "setHash" FROM part GROUP BY 1""")
+def a26(spark, folder):
+    """Every brand's parts are the files of a code bundle."""
+    files = T.table(spark, folder, "part").select(F.col("p_brand").alias("bundle"), F.col("p_partkey").cast("string").alias("name"), F.sha2("p_name", 256).alias("sha256"))
+    return publish.file_set_hash(files)
