@@ -1,5 +1,6 @@
 """Immutable publication under content identities, and verification of published bundles."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from mnemoscope.operators.archive import coverage
@@ -9,13 +10,14 @@ from mnemoscope.quality.manifest_rules import footprint_warnings
 def published_identities(spark, path):
     """Identities already present; an empty table where nothing has been published.
 
-    Identities are partition values, so no data file is read.
+    Identities are partition values, so no data file is read; as text, so that leading zeros stay.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
+    try:
+        return spark.read.schema("identity string").parquet(path).distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "identity string")
-    return spark.read.parquet(path).select(F.col("identity").cast("string").alias("identity")).distinct()
 
 
 def unpublished(rows, published):

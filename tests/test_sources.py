@@ -231,3 +231,11 @@ def test_retry_policy(spark):
     assert {r.requestId: r.problem for r in A.retry_audit(rows).collect()} == {
         "ok": None, "final": "a final status was retried", "many": "more than four attempts", "short": "back-off differs from 1, 2, 4 seconds", "edge": None,
         "long": "retry wait above 30 seconds", "count": "attempts differ from history"}
+
+
+def test_identities_of_digits_keep_their_zeros(spark, tmp_path):
+    target = str(tmp_path / "scores")
+    publish.publish(spark.createDataFrame([("0012", 1)], "identity string, v int"), target)
+    publish.publish(spark.createDataFrame([("0012", 9), ("12", 3)], "identity string, v int"), target)
+    assert sorted(r.identity for r in publish.published_identities(spark, target).collect()) == ["0012", "12"]
+    assert publish.unpublished(spark.createDataFrame([("0012", 1), ("012", 2)], "identity string, v int"), publish.published_identities(spark, target)).first().v == 2
