@@ -23,28 +23,19 @@ from mnemoscope.llm.worker import Memo, for_task
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-WORDS, CHECKS, STATES = 350_000, 150_000, 100_000  # what a worker remembers at most
-
-
-class _State(dict):
-    """What may be under way after some symbols: symbol to (next state, change of the count)."""
-
-    __slots__ = ("counter", "hypotheses")
-
-    def __missing__(self, symbol):
-        move = self[symbol] = self.counter.move(self, symbol)
-        return move
+WORDS, CHECKS = 400_000, 500_000  # what a worker remembers at most
 
 
 class PrefixCounter:
     """Counts for one model file.
 
-    The program runs as an automaton whose states are made when first met: a state holds, for every token
-    that may be under way, the last token before it, its place in the trie of pieces, and how the count
-    before it differs from the count at the prefix read so far.
+    A word is read once: at each prefix the program holds the pieces that may be under way, each with its
+    place in the trie of pieces, the count before it and the token before it.  Their number is bounded by the
+    longest piece.  A node of the trie maps a symbol to (number of the piece that ends there or None, node
+    below or None).
     """
 
-    def __init__(self, path, states=STATES):
+    def __init__(self, path, words=WORDS, checks=CHECKS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,61 +44,47 @@ class PrefixCounter:
         if any(BLANK in piece.lstrip(BLANK) for piece in scores):
             raise ValueError("pieces of this model cross words")
         order = {score: place for place, score in enumerate(sorted(set(scores.values()), reverse=True))}
-        ranks = {piece: order[score] for piece, score in scores.items()}
-        inner = {piece[:n] for piece in ranks for n in range(1, len(piece))}
-        number = {"": 0} | {part: n for n, part in enumerate(inner, start=1)}
-        self.trie = {(number[part[:-1]], part[-1]): (number.get(part), part if part in ranks else None, part in inner)
-                     for part in inner | ranks.keys()}
-        merges = Merges(ranks)
-        self.apart = Memo(lambda pair: merges.apart(*pair), CHECKS)
-        self.most_states, self.states = states, {}
-        self._forget()
-        self.steps_of = Memo(self._steps, WORDS)
+        pieces = [None, *scores]  # piece 0 stands for no piece: the beginning, or bytes
+        merges = Merges({piece: order[score] for piece, score in scores.items()})
+        nodes = {"": {}}
+        for number, piece in enumerate(pieces[1:], start=1):
+            for n in range(1, len(piece)):
+                part = piece[:n]
+                if part not in nodes:
+                    nodes[part] = {}
+                    above = nodes[part[:-1]]
+                    above[part[-1]] = (above.get(part[-1], (None, None))[0], nodes[part])
+            above = nodes[piece[:-1]]
+            above[piece[-1]] = (number, above.get(piece[-1], (None, None))[1])
+        self.root, self.size = nodes[""], len(pieces)
+        self.apart = Memo(lambda pair: merges.apart(pieces[pair // self.size], pieces[pair % self.size]), checks)
+        self.steps_of = Memo(self._steps, words)
 
     def close(self):
-        for state in self.states.values():
-            state.clear()
-        self.states = {}
+        self.apart.clear()
         self.steps_of.clear()
 
-    def _forget(self):
-        for state in self.states.values():
-            state.clear()
-        self.states = {}
-        self.start = self._state(((0, None, 0),))
-
-    def _state(self, hypotheses):
-        state = self.states.get(hypotheses)
-        if state is None:
-            state = self.states[hypotheses] = _State()
-            state.counter, state.hypotheses = self, hypotheses
-        return state
-
-    def move(self, state, symbol):
-        live, ended = [], None
-        for count, last, node in state.hypotheses:
-            found = self.trie.get((node, symbol))
-            if found is None:
-                continue
-            child, piece, inner = found
-            if inner:
-                live.append((count, last, child))
-            if piece is not None and ended is None and self.apart[last, piece]:  # every prefix has one tokenisation
-                ended = (count + 1, piece)
-        if ended is None:
-            # A symbol outside the vocabulary falls back to one token for each of its bytes.
-            ended = (len(symbol.encode("utf-8", "surrogatepass")), None)
-        change, piece = ended
-        return self._state((*((count - change, last, node) for count, last, node in live), (0, piece, 0))), change
-
     def _steps(self, word):
         """Changes of the count from prefix to prefix of a word, one signed byte each."""
-        if len(self.states) >= self.most_states:
-            self._forget()
-        state, steps = self.start, array("b")
+        root, size, apart, steps, before = self.root, self.size, self.apart, array("b"), 0
+        live = [(root, 0, 0)]  # node, count before the piece, the last token's number times the number of pieces
         for symbol in word:
-            state, change = state[symbol]
-            steps.append(change)
+            longer, ended = [], 0
+            for node, count, last in live:
+                found = node.get(symbol)
+                if found is None:
+                    continue
+                piece, below = found
+                if below is not None:
+                    longer.append((below, count, last))
+                if piece is not None and not ended and apart[last + piece]:  # every prefix has one tokenisation
+                    ended, after = piece, count + 1
+            if not ended:
+                # A symbol outside the vocabulary falls back to one token for each of its bytes.
+                after = before + len(symbol.encode("utf-8", "surrogatepass"))
+            steps.append(after - before)
+            longer.append((root, after, ended * size))
+            live, before = longer, after
         return steps.tobytes()
 
     def steps(self, text):
