@@ -93,18 +93,20 @@ def zoned_timestamp(text):
 
     Minutes and seconds may be left out, and decimals beyond microseconds are cut off.
     """
-    def group(i):
-        return F.regexp_extract(text, _ISO, i)
+    # The groups are found once and bound by a lambda, as every use of a column would search again.
+    groups = F.split(F.regexp_replace(text, _ISO, "$1|$2$4|$3$5|$6|$7|$8|$9|$10"), "[|]")
 
     def or_zero(column):
         return F.when(column == "", "00").otherwise(column)
-    zone = F.when(group(10) == "Z", "+00:00").otherwise(F.concat(
-        F.substring(group(10), 1, 3), F.lit(":"), or_zero(F.regexp_extract(group(10), "([0-9]{2})$", 1))))
-    zone = F.when(F.length(group(10)) == 3, F.concat(group(10), F.lit(":00"))).otherwise(zone)
-    day = F.concat(group(1), F.lit("-"), group(2), group(4), F.lit("-"), group(3), group(5))
-    clock = F.concat(group(6), F.lit(":"), or_zero(group(7)), F.lit(":"), or_zero(group(8)), F.lit("."),
-                     F.rpad(F.substring(group(9), 1, 6), 6, "0"))
-    return F.when(text.rlike(_ISO), F.try_to_timestamp(F.concat(day, F.lit("T"), clock, zone)))
+
+    def instant(g):
+        year, month, day, hour, minute, second, decimals, zone = [g[i] for i in range(8)]
+        offset = (F.when(zone == "Z", "+00:00").when(F.length(zone) == 3, F.concat(zone, F.lit(":00")))
+                  .otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2))))
+        clock = F.concat(hour, F.lit(":"), or_zero(minute), F.lit(":"), or_zero(second), F.lit("."),
+                         F.rpad(F.substring(decimals, 1, 6), 6, "0"))
+        return F.try_to_timestamp(F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit("T"), clock, offset))
+    return F.when(text.rlike(_ISO), F.element_at(F.transform(F.array(groups), instant), 1))
 
 
 def letters_only(name):
