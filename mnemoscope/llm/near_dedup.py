@@ -11,7 +11,8 @@ components of the verified links are the classes.  Equal texts are one node from
 links to one leader are tried, never all pairs: the text that shares most buckets with others.  Buckets that
 still hold several classes get a leader from another one, until a round brings no new link.  Buckets that then
 still hold several classes are parted by a second bucket, and members outside a part's largest class lead in turn.
-No round makes more pairs than buckets or parts have members, so a link whose ends never meet a leader may be missed.
+No round makes more pairs than buckets or parts have members.  What a link's ends may still miss there, an exact join
+finds: all untried pairs of different classes in those buckets whose rarest shingles let them be similar are verified.
 """
 
 import numpy as np
@@ -177,7 +178,8 @@ def components(links):
 
 
 def _rarest(texts, words, similarity):
-    """node, rare: so many of a text's shingles, rare ones first, that similar texts must share one of them."""
+    """node, rare: so many of a text's shingles, rare ones first, that similar texts must share one of them, and places:
+    where each of them stands in that order of all the text's shingles."""
     def shingled(frames):
         shingler = Shingler(words)
         for frame in frames:
@@ -190,8 +192,29 @@ def _rarest(texts, words, similarity):
     ranked = counted_join(each, often, ["shingle"], "texts").groupBy("node").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("order"))
     places = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
-    rare = F.filter(F.slice("order", F.lit(1), places), lambda s: s.texts > 1)
-    return ranked.select("node", F.transform(rare, lambda s: s.shingle).alias("rare"))
+    placed = F.transform(F.slice("order", F.lit(1), places), lambda s, i: F.struct(s.texts.alias("texts"), s.shingle.alias("shingle"), i.alias("place")))
+    kept = ranked.select("node", F.filter(placed, lambda s: s.texts > 1).alias("kept"))
+    return kept.select("node", F.col("kept.shingle").alias("rare"), F.col("kept.place").alias("places"))
+
+
+def _remaining(nodes, rare, labels, similarity):
+    """All pairs (a, b) of texts of different classes that share one of their rarest shingles and may be similar.
+
+    Both texts stand in the same order of shingles, so two that share the one at places i and j, and none before, have at most
+    min(n - i, m - j) shingles in common.  Every similar pair passes at the first that it shares.
+    """
+    at = (nodes.select("node", "n").join(rare, "node").join(labels, "node", "left")
+          .select("node", "n", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("rare", "places")).alias("r"))
+          .select("node", "n", "label", F.col("r.rare").alias("shingle"), (F.col("n") - F.col("r.places")).alias("left")))
+    at = materialized(at, "near-rest")
+    # Where all texts with a shingle are of one class there is nothing to try.
+    mixed = at.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("shingle")
+    at = materialized(at.join(mixed, "shingle"), "near-rest")
+    one = at.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("x"), F.col("left").alias("left_a"))
+    two = at.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("y"), F.col("left").alias("left_b"))
+    enough = F.least("left_a", "left_b") * F.lit(1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    return (one.join(two.hint("merge"), "shingle").filter("a < b AND x != y").filter(enough)
+            .filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b").distinct())
 
 
 def _parted_rounds(shared, labels, tried, texts, words, similarity, quiet=3):
@@ -200,7 +223,7 @@ def _parted_rounds(shared, labels, tried, texts, words, similarity, quiet=3):
     Such buckets are parted by a second one: texts that share two buckets meet.  In every round each part is led by a
     member outside its largest class, drawn by a hash, and all members of other classes that the rarest shingles let be
     similar are tried against it; every round parts by other pairs of buckets.  A round makes no more pairs than
-    the parts have members.  It ends after ``quiet`` rounds without a link.
+    the parts have members.  After ``quiet`` rounds without a link all pairs that remain are tried at once.
     """
     def labelled(members):
         return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -234,7 +257,10 @@ def _parted_rounds(shared, labels, tried, texts, words, similarity, quiet=3):
         else:
             still, labels = 0, _relabelled(labels, links)
         number += 1
-    return labels
+    # Classes only grow, so pairs of what are different classes now are all that can still join any.
+    rest = tried.add(tried.new(_remaining(nodes, rare, labels, similarity)))
+    links = materialized(_verified(rest, texts, words, similarity), "near-links")
+    return labels if links.isEmpty() else _relabelled(labels, links)
 
 
 class _Tried:
