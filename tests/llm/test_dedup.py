@@ -201,3 +201,40 @@ def test_classes_of_templates_equal_brute_force(spark):
     docs = spark.createDataFrame(cases.rows(templates()), cases.SCHEMA)
     got = sorted((r.doc_id, r.class_id, r.n_docs) for r in near_dedup.classes(docs).collect())
     assert got == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_looser_templates_lose_no_link(spark):
+    """Links whose ends never meet as leader and member: the exact join finds them."""
+    rng, texts = random.Random(21), []
+    for family in range(6):
+        frame = cases.prose(rng, 150).split()
+        for _ in range(60):
+            words = list(frame)
+            for s in rng.sample(range(0, 150, 6), rng.choice((2, 3, 4, 5))):
+                words[s] = f"slot{family}x{s}x{rng.randrange(3)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(cases.rows(texts), cases.SCHEMA)
+    got = sorted((r.doc_id, r.class_id, r.n_docs) for r in near_dedup.classes(docs).collect())
+    assert got == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_remaining_pairs_are_all_similar_pairs_of_different_classes(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        frame = cases.prose(rng, 60).split()
+        for _ in range(8):
+            words = list(frame)
+            for s in rng.sample(range(60), rng.choice((0, 1, 2))):
+                words[s] = f"word{rng.randrange(99)}"
+            texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    node = [f"{i:03d}".encode() for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(node, texts)), "node binary, text string")
+    nodes = spark.createDataFrame([(n, len(s)) for n, s in zip(node, sets)], "node binary, n bigint")
+    labels = spark.createDataFrame([(n, node[0]) for n in node[:5]], "node binary, label binary")
+    rare = near_dedup._rarest(rows, 5, 0.8)
+    got = {(int(bytes(r.a)), int(bytes(r.b))) for r in near_dedup._remaining(nodes, rare, labels, 0.8).collect()}
+    similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) > 20 and {p for p in similar if p[1] >= 5} <= got and not {p for p in got if p[1] < 5}
