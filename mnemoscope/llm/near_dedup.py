@@ -9,10 +9,9 @@ repeats shingles has a second signature with unit weights, so that pairs are pro
 Bands of components propose pairs, exact Jaccard similarity of the shingle sets verifies them, and connected
 components of the verified links are the classes.  Equal texts are one node from the start.  In a bucket only
 links to one leader are tried, never all pairs: the text that shares most buckets with others.  Buckets that
-still hold several classes get a leader from another one, until a round brings no new link.  Buckets that then
-still hold several classes are parted by a second bucket, and members outside a part's largest class lead in turn.
-No round makes more pairs than buckets or parts have members.  What a link's ends may still miss there, an exact join
-finds: all untried pairs of different classes in those buckets whose rarest shingles let them be similar are verified.
+still hold several classes get a leader from another one, until a round brings no new link.  No round makes more
+pairs than buckets have members.  What bands and leaders miss an exact join finds: of all texts, in whatever buckets,
+the untried pairs of different classes whose rarest shingles let them be similar are verified, so no link is lost.
 """
 
 import numpy as np
@@ -27,6 +26,7 @@ from mnemoscope.session import materialized, scratch_folder
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band with probability 5e-5
+SAMPLED, COMMON = 20_000, 200_000  # texts that tell which shingles are common, and so many of these; they set an order only
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 _BATCH = 300_000  # shingles of the texts that are sketched together
 
@@ -100,8 +100,43 @@ def _node(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def sketches(nodes, words=SHINGLE, bands=BANDS, rows=ROWS):
-    """node, n_shingles, buckets of every text with a word; a text that a task meets again is skipped."""
+def _common(texts, words=SHINGLE):
+    """The commonest shingles of a sample of texts, sorted, and in how many of its texts each is."""
+    bar = int(min(1, SAMPLED / max(1, texts.count())) * 2**20)
+    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(2**20)) < bar).groupBy("node").agg(F.first("text").alias("text"))
+
+    def shingled(frames):
+        shingler = Shingler(words)
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"shingle": np.concatenate([shingler(t or "")[0] for t in frame["text"]]).view(np.int64)})
+
+    often = (sample.mapInPandas(shingled, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"))
+             .filter("texts > 1").orderBy(F.desc("texts"), "shingle").limit(COMMON).toPandas())
+    shingle, count = often["shingle"].to_numpy(np.int64).view(np.uint64), often["texts"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def _first(shingles, similarity, common):
+    """So many of a text's sorted shingles, rare ones first, that similar texts share one of them.
+
+    All texts are in one order, by count in the sample and then by shingle; whatever that order is, the first
+    shingles of two similar texts meet.  A better one only leaves fewer pairs.
+    """
+    places = len(shingles) - int(np.ceil(len(shingles) * similarity - 1e-9)) + 1
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        often = np.where(common[0][at] == shingles, common[1][at], 0)
+        shingles = shingles[np.argsort(often, kind="stable")]
+    return shingles[:places].view(np.int64)
+
+
+def sketches(nodes, words=SHINGLE, bands=BANDS, rows=ROWS, similarity=SIMILARITY, common=None):
+    """node, n_shingles, buckets, rare (its first shingles, see ``_first``) of every text with a word; a text that a task
+    meets again is skipped."""
+    common = common or (np.empty(0, np.uint64), np.empty(0, np.int64))
+
     def batches(frames):
         shingler, seen, waiting, total = Shingler(words), set(), [], 0
 
@@ -115,7 +150,7 @@ def sketches(nodes, words=SHINGLE, bands=BANDS, rows=ROWS):
                 for i, more in zip(repeating, band_hashes(signatures(plain, bands * rows), bands, rows)):
                     found[i] = np.union1d(found[i], more)
             return pd.DataFrame({"node": [n for n, _ in waiting], "n_shingles": [len(s[0]) for _, s in waiting],
-                                 "buckets": found})
+                                 "buckets": found, "rare": [_first(s[0], similarity, common) for s in sets]})
 
         for frame in frames:
             for node, text in zip(frame["node"], frame["text"]):
@@ -133,7 +168,7 @@ def sketches(nodes, words=SHINGLE, bands=BANDS, rows=ROWS):
         if waiting:
             yield flush()
 
-    return nodes.mapInPandas(batches, "node binary, n_shingles bigint, buckets array<bigint>")
+    return nodes.mapInPandas(batches, "node binary, n_shingles bigint, buckets array<bigint>, rare array<bigint>")
 
 
 def _verified(pairs, texts, words, similarity):
@@ -178,89 +213,40 @@ def components(links):
 
 
 def _rarest(texts, words, similarity):
-    """node, rare: so many of a text's shingles, rare ones first, that similar texts must share one of them, and places:
-    where each of them stands in that order of all the text's shingles."""
-    def shingled(frames):
-        shingler = Shingler(words)
-        for frame in frames:
-            yield pd.DataFrame({"node": frame["node"], "shingles": [shingler(t)[0].view(np.int64) for t in frame["text"]]})
-
-    each = materialized(texts.mapInPandas(shingled, "node binary, shingles array<bigint>")
-                        .select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "near-shingles")
-    often = materialized(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "near-often")
-    # Shingles of a single text are the rarest of all and in no other text; they only take places.
-    ranked = counted_join(each, often, ["shingle"], "texts").groupBy("node").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("order"))
-    places = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
-    placed = F.transform(F.slice("order", F.lit(1), places), lambda s, i: F.struct(s.texts.alias("texts"), s.shingle.alias("shingle"), i.alias("place")))
-    kept = ranked.select("node", F.filter(placed, lambda s: s.texts > 1).alias("kept"))
-    return kept.select("node", F.col("kept.shingle").alias("rare"), F.col("kept.place").alias("places"))
+    """node, rare: so many of a text's shingles that similar texts must share one of them, and places: where each of them
+    stands in the order of all the text's shingles."""
+    found = sketches(texts, words, similarity=similarity, common=_common(texts, words))
+    return found.select("node", "rare", F.sequence(F.lit(0), F.size("rare") - 1).alias("places"))
 
 
 def _remaining(nodes, rare, labels, similarity):
-    """All pairs (a, b) of texts of different classes that share one of their rarest shingles and may be similar.
+    """All pairs (a, b) of texts of different classes that share one of their rarest shingles and may be similar."""
+    each = nodes.select("node", "n").join(rare, "node").select("node", "n", F.explode(F.arrays_zip("rare", "places")).alias("r"))
+    return _pairs_apart(each.select("node", "n", F.col("r.rare").alias("shingle"), F.col("r.places").alias("place")), labels, similarity)
+
+
+def _pairs_apart(each, labels, similarity):
+    """The same from one row for each of a text's rarest shingles: node, n, shingle, place.
 
     Both texts stand in the same order of shingles, so two that share the one at places i and j, and none before, have at most
-    min(n - i, m - j) shingles in common.  Every similar pair passes at the first that it shares.
+    min(n - i, m - j) shingles in common.  Every similar pair passes at the first that it shares.  One of a pair is outside the
+    shingle's largest class, so a class of copies never meets itself.
     """
-    at = (nodes.select("node", "n").join(rare, "node").join(labels, "node", "left")
-          .select("node", "n", F.coalesce("label", "node").alias("label"), F.explode(F.arrays_zip("rare", "places")).alias("r"))
-          .select("node", "n", "label", F.col("r.rare").alias("shingle"), (F.col("n") - F.col("r.places")).alias("left")))
+    several = materialized(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("shingle"), "near-often")
+    at = (each.join(several, "shingle").join(labels, "node", "left")
+          .select("shingle", "node", "n", (F.col("n") - F.col("place")).alias("left"), F.coalesce("label", "node").alias("label")))
     at = materialized(at, "near-rest")
     # Where all texts with a shingle are of one class there is nothing to try.
-    mixed = at.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("shingle")
-    at = materialized(at.join(mixed, "shingle"), "near-rest")
-    one = at.select("shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("x"), F.col("left").alias("left_a"))
-    two = at.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("y"), F.col("left").alias("left_b"))
-    enough = F.least("left_a", "left_b") * F.lit(1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
-    return (one.join(two.hint("merge"), "shingle").filter("a < b AND x != y").filter(enough)
-            .filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b").distinct())
-
-
-def _parted_rounds(shared, labels, tried, texts, words, similarity, quiet=3):
-    """Labels after the pairs that the leader rounds left untried in buckets that still hold several classes.
-
-    Such buckets are parted by a second one: texts that share two buckets meet.  In every round each part is led by a
-    member outside its largest class, drawn by a hash, and all members of other classes that the rarest shingles let be
-    similar are tried against it; every round parts by other pairs of buckets.  A round makes no more pairs than
-    the parts have members.  After ``quiet`` rounds without a link all pairs that remain are tried at once.
-    """
-    def labelled(members):
-        return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    mixed = labelled(shared.select("bucket", "node", "n"))
-    several = mixed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-    nodes = materialized(mixed.join(several, "bucket").groupBy("node").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_set("bucket")).alias("buckets")), "near-mixed")
-    if nodes.isEmpty():
-        return labels
-    rare = materialized(_rarest(texts.join(nodes.select("node"), "node", "left_semi"), words, similarity), "near-rarest")
-    number = still = 0
-    while still < quiet:
-        apart = 1 + number % quiet
-        keys = F.expr(f"if(size(buckets) > {apart}, transform(sequence(1, size(buckets) - {apart}), i -> xxhash64(buckets[i - 1], buckets[i - 1 + {apart}])), buckets)")
-        member = labelled(nodes.select("node", "n", F.explode(keys).alias("part")))
-        main = (member.groupBy("part", "label").agg(F.count(F.lit(1)).alias("texts")).groupBy("part")
-                .agg(F.max(F.struct("texts", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-        member = materialized(member.join(main.select("part", F.col("main.label").alias("main")), "part"), "near-parts")
-        draw = F.struct(F.xxhash64("node", "part", F.lit(number)).alias("draw"), "node", "n", "label")
-        chief = member.filter("label != main").groupBy("part").agg(F.max(draw).alias("chief"))
-        possible = F.least("n", "chief.n") >= similarity * F.greatest("n", "chief.n")
-        pairs = (member.join(chief, "part").filter(F.col("label") != F.col("chief.label")).filter(possible)
-                 .select(F.least("node", "chief.node").alias("a"), F.greatest("node", "chief.node").alias("b")).distinct())
-        meeting = (tried.new(pairs).join(rare.select(F.col("node").alias("a"), F.col("rare").alias("rare_a")), "a")
-                   .join(rare.select(F.col("node").alias("b"), F.col("rare").alias("rare_b")), "b"))
-        pairs = tried.add(meeting.filter(F.arrays_overlap("rare_a", "rare_b")).select("a", "b"))
-        links = materialized(_verified(pairs, texts, words, similarity), "near-links")
-        if links.isEmpty():
-            still += 1
-        else:
-            still, labels = 0, _relabelled(labels, links)
-        number += 1
-    # Classes only grow, so pairs of what are different classes now are all that can still join any.
-    rest = tried.add(tried.new(_remaining(nodes, rare, labels, similarity)))
-    links = materialized(_verified(rest, texts, words, similarity), "near-links")
-    return labels if links.isEmpty() else _relabelled(labels, links)
+    main = (at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("texts")).groupBy("shingle")
+            .agg(F.max(F.struct("texts", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    at = materialized(at.join(main.select("shingle", F.col("main.label").alias("main")), "shingle"), "near-rest")
+    one = at.filter("label != main").select(
+        "shingle", F.col("node").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("x"), F.col("left").alias("left_1"))
+    two = at.select("shingle", F.col("node").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("y"), F.col("left").alias("left_2"))
+    enough = F.least("left_1", "left_2") * F.lit(1 + similarity) >= similarity * (F.col("n_1") + F.col("n_2")) - F.lit(1e-6)
+    return (one.join(two.hint("merge"), "shingle").filter("x != y").filter(enough)
+            .filter(F.least("n_1", "n_2") >= similarity * F.greatest("n_1", "n_2"))
+            .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
 
 
 class _Tried:
@@ -295,7 +281,7 @@ def classes(docs, words=SHINGLE, similarity=SIMILARITY, bands=BANDS, rows=ROWS):
     """
     rows_of = docs.select("doc_id", _node(F.col("text")).alias("node"))
     texts = docs.select(_node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    sketched = materialized(sketches(texts, words, bands, rows), "near-sketches")
+    sketched = materialized(sketches(texts, words, bands, rows, similarity, _common(texts, words)), "near-sketches")
     buckets = (sketched.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
                .select("node", "n", F.explode("buckets").alias("bucket")))
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -307,6 +293,7 @@ def classes(docs, words=SHINGLE, similarity=SIMILARITY, bands=BANDS, rows=ROWS):
     crowded = materialized(ranked.join(leaders, "bucket"), "near-buckets")
     wanted = crowd.select("node")
     # Copies go before the shuffle: one text may be a third of all rows.
+    every = texts
     single = texts.groupBy("node").agg(F.first("text").alias("text"))
     texts = materialized(single.join(wanted, "node", "left_semi"), "near-texts")
     possible = F.least("m.n", "leader.n") >= similarity * F.greatest("m.n", "leader.n")
@@ -328,8 +315,17 @@ def classes(docs, words=SHINGLE, similarity=SIMILARITY, bands=BANDS, rows=ROWS):
                  .agg(F.max(F.struct("m", "label")).alias("chief")))
         crowded = materialized(member.join(chief, "bucket").filter("label != chief.label OR m = chief.m")
                                .select("bucket", "m", F.col("chief.m").alias("leader")), "near-buckets")
-    # Followers that the rounds left behind come back here.
-    labels = _parted_rounds(shared, labels, tried, texts, words, similarity)
+    # Classes only grow, so pairs of what are different classes now are all that can still join any.
+    each = (sketched.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.posexplode("rare").alias("place", "shingle")))
+    rest = tried.add(tried.new(_pairs_apart(each, labels, similarity)))
+    # Ends that share no bucket with any text were not kept so far.
+    ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    alone = materialized(ends.join(texts.select("node"), "node", "left_anti"), "near-alone")
+    more = every.join(alone, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts.unionByName(materialized(more, "near-texts"))
+    links = materialized(_verified(rest, texts, words, similarity), "near-links")
+    if not links.isEmpty():
+        labels = _relabelled(labels, links)
     of_node = (rows_of.groupBy("node").agg(
         F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first"))

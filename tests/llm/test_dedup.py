@@ -238,3 +238,25 @@ def test_remaining_pairs_are_all_similar_pairs_of_different_classes(spark):
     got = {(int(bytes(r.a)), int(bytes(r.b))) for r in near_dedup._remaining(nodes, rare, labels, 0.8).collect()}
     similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(similar) > 20 and {p for p in similar if p[1] >= 5} <= got and not {p for p in got if p[1] < 5}
+
+
+def test_links_that_share_no_bucket_are_found(spark):
+    """One band of 40 components proposes hardly any pair: the exact join covers texts in whatever buckets."""
+    docs = spark.createDataFrame(cases.rows(near_texts() + templates()[:70]), cases.SCHEMA).filter("doc_id IS NOT NULL")
+    got = sorted((r.doc_id, r.class_id, r.n_docs) for r in near_dedup.classes(docs, bands=1, rows=40).collect())
+    assert got == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_any_order_of_shingles_lets_similar_texts_meet():
+    import numpy as np
+
+    rng, texts = random.Random(8), templates()[:40]
+    sets = [near_dedup.Shingler()(t)[0] for t in texts]
+    every = np.unique(np.concatenate(sets))
+    for share in (0, 0.3, 1):
+        common = np.sort(np.array(rng.sample(every.tolist(), int(share * len(every))), np.uint64))
+        first = [set(near_dedup._first(s, 0.8, (common, np.array([rng.randrange(2, 99) for _ in common], np.int64))).tolist()) for s in sets]
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert both < 0.8 * (len(sets[i]) + len(sets[j]) - both) or first[i] & first[j]
