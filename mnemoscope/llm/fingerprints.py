@@ -200,27 +200,50 @@ def _compared(ids, texts, prints, next_texts, next_prints, part, edge, schema):
         pa.array([None] * len(texts), pa.string())], names=schema)
 
 
+def _squeezed(rows):
+    """``text`` as zstd bytes in ``packed`` with their length ``n_bytes``: shuffles themselves only know a fast, weak codec."""
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, hash bigint, n_bytes bigint, packed binary"
+
+    def batches(frames):
+        codec = pa.Codec("zstd", compression_level=3)
+        for frame in frames:
+            texts = frame.column("bytes")
+            packed = [codec.compress(t.as_buffer(), asbytes=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([
+                frame.column("doc_id"), frame.column("hash"), pa.array([t.as_buffer().size for t in texts], pa.int64()),
+                pa.array(packed, pa.binary())], names=["doc_id", "hash", "n_bytes", "packed"])
+
+    return rows.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("bytes")).mapInArrow(batches, schema)
+
+
+def _unsqueezed(batch):
+    """The texts of a batch of such rows."""
+    codec = pa.Codec("zstd")
+    return [codec.decompress(p.as_buffer(), n, asbytes=True).decode("utf-8") if n else ""
+            for p, n in zip(batch.column("packed"), batch.column("n_bytes").to_pylist())]
+
+
 def compare_with_next(docs, parts=None):
     """For every document, against the next one by doc_id (after the last: the first): doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by as many code points from the beginning of the next text.
     Null texts are empty; null ids come first; rows with one id are ordered by their text's hash.  Texts are
-    shuffled once, into ranges of ids; each range leaves its first and last document, from which the
+    shuffled once, compressed, into ranges of ids; each range leaves its first and last document, from which the
     neighbours across ranges are compared in a second, small step.  An only document is next to itself.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = _COMPARED.format(id=docs.schema["doc_id"].dataType.simpleString())
     names = [c.split()[0] for c in columns.split(", ")]
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id")
+    rows = (_squeezed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).repartitionByRange(parts, "doc_id")
             .withColumn("part", F.spark_partition_id())
-            .sortWithinPartitions("doc_id", F.xxhash64("text")))
+            .sortWithinPartitions("doc_id", "hash"))
 
     def blocks(batches):
         """Documents in order, about a million code points at a time."""
         for batch in batches:
-            ids, texts, part = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("part")
+            ids, texts, part = batch.column("doc_id"), _unsqueezed(batch), batch.column("part")
             begin = size = 0
             for i, text in enumerate(texts):
                 size += len(text)

@@ -142,3 +142,13 @@ def test_comparison_equals_brute_force(spark):
     one = docs.filter("doc_id = 105")
     assert fp.compare_with_next(one).first().near_next == 1.0
     assert fp.fingerprints(odd).columns == [*odd.columns, "fingerprint"]
+
+
+def test_texts_travel_compressed(spark):
+    rng = random.Random(4)
+    texts = [cases.prose(rng, 300) for _ in range(20)] + ["", "\u00e4\U0001f600\x00 end", None]
+    rows = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    packed = fp._squeezed(rows)
+    got = packed.orderBy("doc_id").toArrow()
+    assert [t for b in got.to_batches() for t in fp._unsqueezed(b)] == [t or "" for t in texts]
+    assert sum(map(len, got.column("packed").to_pylist())) < 0.7 * sum(len((t or "").encode()) for t in texts)
