@@ -221,32 +221,35 @@ def _rarest(texts, words, similarity):
 
 def _remaining(nodes, rare, labels, similarity):
     """All pairs (a, b) of texts of different classes that share one of their rarest shingles and may be similar."""
-    each = nodes.select("node", "n").join(rare, "node").select("node", "n", F.explode(F.arrays_zip("rare", "places")).alias("r"))
-    return _pairs_apart(each.select("node", "n", F.col("r.rare").alias("shingle"), F.col("r.places").alias("place")), labels, similarity)
+    return _pairs_apart(nodes.select("node", "n").join(rare, "node").select("node", "n", F.explode("rare").alias("shingle")), labels, similarity)
 
 
 def _pairs_apart(each, labels, similarity):
-    """The same from one row for each of a text's rarest shingles: node, n, shingle, place.
+    """The same from one row for each of a text's rarest shingles: node, n, shingle.
 
-    Both texts stand in the same order of shingles, so two that share the one at places i and j, and none before, have at most
-    min(n - i, m - j) shingles in common.  Every similar pair passes at the first that it shares.  One of a pair is outside the
-    shingle's largest class, so a class of copies never meets itself.
+    All texts stand in one order of shingles.  Of two texts the one whose first shingles end earlier has all its shared ones
+    up to there among the first shingles of both; beyond it has ceil(similarity * n) - 1.  So texts with too few first
+    shingles in common cannot be similar.  One of a pair is outside the shingle's largest class, so a class of copies
+    never meets itself; every shingle that two texts of different classes share counts once.
     """
     several = materialized(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("shingle"), "near-often")
     at = (each.join(several, "shingle").join(labels, "node", "left")
-          .select("shingle", "node", "n", (F.col("n") - F.col("place")).alias("left"), F.coalesce("label", "node").alias("label")))
+          .select("shingle", "node", "n", F.coalesce("label", "node").alias("label")))
     at = materialized(at, "near-rest")
     # Where all texts with a shingle are of one class there is nothing to try.
     main = (at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("texts")).groupBy("shingle")
             .agg(F.max(F.struct("texts", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     at = materialized(at.join(main.select("shingle", F.col("main.label").alias("main")), "shingle"), "near-rest")
-    one = at.filter("label != main").select(
-        "shingle", F.col("node").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("x"), F.col("left").alias("left_1"))
-    two = at.select("shingle", F.col("node").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("y"), F.col("left").alias("left_2"))
-    enough = F.least("left_1", "left_2") * F.lit(1 + similarity) >= similarity * (F.col("n_1") + F.col("n_2")) - F.lit(1e-6)
-    return (one.join(two.hint("merge"), "shingle").filter("x != y").filter(enough)
-            .filter(F.least("n_1", "n_2") >= similarity * F.greatest("n_1", "n_2"))
-            .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
+    one = at.filter("label != main").select("shingle", F.col("node").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("x"))
+    two = at.select("shingle", F.col("node").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("y"), "main")
+    larger, both = F.greatest("n_1", "n_2"), F.col("n_1") + F.col("n_2")
+    beyond = F.ceil(larger * F.lit(similarity) - F.lit(1e-9)) - 1
+    shared = (one.join(two.hint("merge"), "shingle").filter("x != y").filter("y = main OR one < two")
+              .filter(F.least("n_1", "n_2") >= similarity * larger)
+              .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"),
+                      (both * F.lit(similarity / (1 + similarity)) - beyond).alias("least")))
+    return (shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least"))
+            .filter(F.col("shared") >= F.col("least") - F.lit(1e-6)).select("a", "b"))
 
 
 class _Tried:
@@ -316,7 +319,7 @@ def classes(docs, words=SHINGLE, similarity=SIMILARITY, bands=BANDS, rows=ROWS):
         crowded = materialized(member.join(chief, "bucket").filter("label != chief.label OR m = chief.m")
                                .select("bucket", "m", F.col("chief.m").alias("leader")), "near-buckets")
     # Classes only grow, so pairs of what are different classes now are all that can still join any.
-    each = (sketched.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.posexplode("rare").alias("place", "shingle")))
+    each = sketched.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("rare").alias("shingle"))
     rest = tried.add(tried.new(_pairs_apart(each, labels, similarity)))
     # Ends that share no bucket with any text were not kept so far.
     ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
