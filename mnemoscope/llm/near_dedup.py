@@ -221,35 +221,50 @@ def _rarest(texts, words, similarity):
 
 def _remaining(nodes, rare, labels, similarity):
     """All pairs (a, b) of texts of different classes that share one of their rarest shingles and may be similar."""
-    return _pairs_apart(nodes.select("node", "n").join(rare, "node").select("node", "n", F.explode("rare").alias("shingle")), labels, similarity)
+    return _pairs_apart(nodes.select("node", "n").join(rare, "node").select("node", "n", F.posexplode("rare").alias("place", "shingle")), labels, similarity)
+
+
+def _meeting(at, similarity):
+    """Pairs (a, b), with repeats, that meet in a shared shingle which stands early enough in both; at: one row for each of a
+    text's shingles, with its largest class (main) and the hash of all texts that hold it (nodes)."""
+    # Unequal sets of texts with one hash only make more pairs, as the places are the least ones.
+    met = materialized(at.groupBy("nodes", "main", "node").agg(
+        F.first("n").alias("n"), F.first("label").alias("label"), F.min("place").alias("place")), "near-met")
+    one = met.filter("label != main").select("nodes", "main", F.col("node").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("x"), F.col("place").alias("at_1"))
+    two = met.select("nodes", "main", F.col("node").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("y"), F.col("place").alias("at_2"))
+    wanted = F.ceil((F.col("n_1") + F.col("n_2")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    return (one.join(two.hint("merge"), ["nodes", "main"]).filter("x != y").filter("y = main OR one < two")
+            .filter(F.least("n_1", "n_2") >= similarity * F.greatest("n_1", "n_2"))
+            .filter((F.col("at_1") + wanted <= F.col("n_1")) & (F.col("at_2") + wanted <= F.col("n_2")))
+            .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")))
 
 
 def _pairs_apart(each, labels, similarity):
-    """The same from one row for each of a text's rarest shingles: node, n, shingle.
+    """The same from one row for each of a text's rarest shingles: node, n, place (from 0, in the order of all its shingles), shingle.
+
+    All texts stand in one order of shingles.  Texts that share enough of their shingles have that many left from the
+    first shared one on, in both; so pairs meet only where a shared shingle stands early enough in both.  Shingles that the
+    same texts hold make the same pairs and count as one, at the first one's place.  One of a pair is outside the
+    shingle's largest class, so a class of copies never meets itself.
 
-    All texts stand in one order of shingles.  Of two texts the one whose first shingles end earlier has all its shared ones
-    up to there among the first shingles of both; beyond it has ceil(similarity * n) - 1.  So texts with too few first
-    shingles in common cannot be similar.  One of a pair is outside the shingle's largest class, so a class of copies
-    never meets itself; every shingle that two texts of different classes share counts once.
+    Then the shared ones are counted.  Of two texts the one whose first shingles end earlier has all its shared ones up to
+    there among the first shingles of both; beyond it has ceil(similarity * n) - 1.  So texts with too few in common cannot be similar.
     """
     several = materialized(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("shingle"), "near-often")
     at = (each.join(several, "shingle").join(labels, "node", "left")
-          .select("shingle", "node", "n", F.coalesce("label", "node").alias("label")))
+          .select("shingle", "node", "n", "place", F.coalesce("label", "node").alias("label")))
     at = materialized(at, "near-rest")
     # Where all texts with a shingle are of one class there is nothing to try.
-    main = (at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("texts")).groupBy("shingle")
-            .agg(F.max(F.struct("texts", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-    at = materialized(at.join(main.select("shingle", F.col("main.label").alias("main")), "shingle"), "near-rest")
-    one = at.filter("label != main").select("shingle", F.col("node").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("x"))
-    two = at.select("shingle", F.col("node").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("y"), "main")
-    larger, both = F.greatest("n_1", "n_2"), F.col("n_1") + F.col("n_2")
-    beyond = F.ceil(larger * F.lit(similarity) - F.lit(1e-9)) - 1
-    shared = (one.join(two.hint("merge"), "shingle").filter("x != y").filter("y = main OR one < two")
-              .filter(F.least("n_1", "n_2") >= similarity * larger)
-              .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"),
-                      (both * F.lit(similarity / (1 + similarity)) - beyond).alias("least")))
-    return (shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("least").alias("least"))
-            .filter(F.col("shared") >= F.col("least") - F.lit(1e-6)).select("a", "b"))
+    main = (at.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("node")).alias("nodes")).groupBy("shingle")
+            .agg(F.max(F.struct("texts", "label")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.bit_xor("nodes").alias("nodes")).filter("kinds > 1"))
+    at = materialized(at.join(main.select("shingle", F.col("main.label").alias("main"), "nodes"), "shingle"), "near-rest")
+    pairs = _meeting(at, similarity).distinct()
+    held = at.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"))
+    both = (pairs.join(held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")), "a")
+            .join(held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b")), "b"))
+    beyond = F.ceil(F.greatest("n_a", "n_b") * F.lit(similarity) - F.lit(1e-9)) - 1
+    least = (F.col("n_a") + F.col("n_b")) * F.lit(similarity / (1 + similarity)) - beyond
+    return both.filter(F.size(F.array_intersect("of_a", "of_b")) >= least - F.lit(1e-6)).select("a", "b")
 
 
 class _Tried:
@@ -319,7 +334,7 @@ def classes(docs, words=SHINGLE, similarity=SIMILARITY, bands=BANDS, rows=ROWS):
         crowded = materialized(member.join(chief, "bucket").filter("label != chief.label OR m = chief.m")
                                .select("bucket", "m", F.col("chief.m").alias("leader")), "near-buckets")
     # Classes only grow, so pairs of what are different classes now are all that can still join any.
-    each = sketched.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("rare").alias("shingle"))
+    each = sketched.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.posexplode("rare").alias("place", "shingle"))
     rest = tried.add(tried.new(_pairs_apart(each, labels, similarity)))
     # Ends that share no bucket with any text were not kept so far.
     ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()

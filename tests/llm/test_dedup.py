@@ -240,6 +240,23 @@ def test_remaining_pairs_are_all_similar_pairs_of_different_classes(spark):
     assert len(similar) > 20 and {p for p in similar if p[1] >= 5} <= got and not {p for p in got if p[1] < 5}
 
 
+def test_texts_that_share_a_long_passage_do_not_all_meet(spark, monkeypatch):
+    """Texts that are a common passage but for a sixth of their words are not similar: hardly any two may meet."""
+    rng, met = random.Random(13), []
+    passage = cases.prose(rng, 200)
+    texts = [f"{passage} {' '.join(f'own{i}x{k}' for k in range(40))}" for i in range(80)] + [f"{passage} end{i}" for i in range(3)]
+    sets = [shingles(t) for t in texts]
+    node = [f"{i:03d}".encode() for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(node, texts)), "node binary, text string")
+    nodes = spark.createDataFrame([(n, len(s)) for n, s in zip(node, sets)], "node binary, n bigint")
+    labels = spark.createDataFrame([(node[0], node[0])], "node binary, label binary")
+    meeting = near_dedup._meeting
+    monkeypatch.setattr(near_dedup, "_meeting", lambda *given: met.append(meeting(*given)) or met[-1])
+    got = {(int(bytes(r.a)), int(bytes(r.b))) for r in near_dedup._remaining(nodes, near_dedup._rarest(rows, 5, 0.8), labels, 0.8).collect()}
+    similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert similar and similar <= got and met[0].count() < 3 * len(texts)
+
+
 def test_links_that_share_no_bucket_are_found(spark):
     """One band of 40 components proposes hardly any pair: the exact join covers texts in whatever buckets."""
     docs = spark.createDataFrame(cases.rows(near_texts() + templates()[:70]), cases.SCHEMA).filter("doc_id IS NOT NULL")
