@@ -23,6 +23,7 @@ from mnemoscope.llm.worker import Memo, for_task
 # Fixed: Unicode's White_Space, which is what \s means to the library whose output is matched.
 SPACE = r"\t-\r \x85\xa0  -     　"
 STATES, CHECKS, PIECES = 120_000, 150_000, 250_000  # what a worker remembers at most, unless told otherwise
+IDS_AT_ONCE = 1 << 20  # token ids after which a task sends on what it has
 NODE = 24  # bits of a trie node's number
 _NODES = (1 << NODE) - 1
 
@@ -291,22 +292,30 @@ class Codec:
         return "".join(self.machine.pieces(ids))
 
 
+def _id_lists(codec, texts, most=IDS_AT_ONCE):
+    """The token ids of texts as arrays of lists, each of about ``most`` ids."""
+    flat, ends = array("i"), [0]
+    for i, text in enumerate(texts, start=1):
+        flat.extend(codec.encode(text.as_py()))
+        ends.append(len(flat))
+        if len(flat) >= most or i == len(texts):
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(
+                pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+            flat, ends = array("i"), [0]
+
+
 def encode(docs, path, pattern, text="text", ids="token_ids"):
     """Add the token ids of every text as array<int>.  A null or empty text has none.
 
     ``path`` names the vocabulary file, which every executor must be able to open.  Only the texts go to
-    Python; all rows and other columns stay as they are, and a column named ``ids`` is replaced.
+    Python; all rows and other columns stay as they are, and a column named ``ids`` is replaced.  Ids are sent
+    on by about a million, so that none wait for a whole batch of texts.
     """
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with for_task(lambda: Codec(path, pattern)) as codec:
             for texts in batches:
-                flat, ends = array("i"), [0]
-                for text in texts:
-                    flat.extend(codec.encode(text.as_py()))
-                    ends.append(len(flat))
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(
-                    pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+                yield from _id_lists(codec, texts)
 
     return docs.withColumn(ids, encoded(F.coalesce(text, F.lit(""))))
 

@@ -87,6 +87,19 @@ def test_encode_and_decode_keep_rows_and_columns(spark):
     assert len(back) == docs.count() and all(r.decoded == (r.text or "") for r in back)
 
 
+def test_ids_are_sent_on_before_a_batch_ends(spark):
+    import pyarrow as pa
+
+    codec, texts = bpe.Codec(RANKS, P.PATTERN), ["one two three " * 20, "", "four", "", "five six " * 30, "seven", ""]
+    parts = [part.to_pylist() for part in bpe._id_lists(codec, pa.array(texts), 50)]
+    assert len(parts) == 3 and sum(parts, []) == [codec.encode(t) for t in texts]
+    assert max(sum(map(len, p[:-1])) for p in parts) < 50 and not [*bpe._id_lists(codec, pa.array([], pa.string()))]
+    # A batch of Spark's is answered by several.
+    docs = spark.range(3).selectExpr("id", "repeat('x9 ', 500000) AS text").coalesce(1)
+    assert [tuple(r) for r in bpe.encode(docs, RANKS, P.PATTERN).selectExpr("id", "size(token_ids) > 600000", "length(text)").collect()] == [
+        (i, True, 1_500_000) for i in range(3)]
+
+
 def test_counts_at_every_prefix_equal_the_library():
     counter = token_counts.PrefixCounter(PIECES)
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
