@@ -437,7 +437,7 @@ def m_rules(spark, folder):
         F.when(nation == 7, F.sha2(F.lit("x"), 256)).otherwise(canonical.manifest_prefix_hash(prefix)).alias("stablePrefixHash"),
         F.when(nation == 4, "2026-01-01T00:00:00").otherwise("2026-01-01T00:00:00Z").alias("timestamp"),
         F.concat(F.lit("fx-"), nation).alias("fixtureId"), nation.alias("fixtureSeed"), F.lit("1.0.0").alias("generatorVersion")))
-    manifests = T.table(spark, folder, "customer").select(F.col("c_custkey").alias("runId"), body.alias("text"))
+    manifests = T.dealt(T.table(spark, folder, "customer")).select(F.col("c_custkey").alias("runId"), body.alias("text"))
     fixtures = T.table(spark, folder, "nation").select(
         F.concat(F.lit("fx-"), F.col("n_nationkey")).alias("fixtureId"), F.sha2(F.col("n_nationkey").cast("string"), 256).alias("contentHash"),
         F.lit("1.0.0").alias("generatorVersion"), F.col("n_nationkey").cast("bigint").alias("seed"))

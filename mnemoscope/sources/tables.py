@@ -14,6 +14,17 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows, *keys):
+    """Rows dealt to as many tasks as the session shuffles to, or has cores, however small the files they come from.
+
+    A table in one row group is read by one task, and adaptive execution joins shuffled parts by their bytes; where a row
+    costs much time, or is widened afterwards, either leaves too few tasks.  With keys, equal ones stay together.
+    """
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *keys)
+
+
 def requests(spark, folder):
     """Every event is one archived model request of the run of its user."""
     k = F.get_json_object("props", "$.k").cast("int")
