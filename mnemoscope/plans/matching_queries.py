@@ -6,7 +6,7 @@ from mnemoscope.functions import canonical, redact, text, tokens
 from mnemoscope.functions.number import within
 from mnemoscope.operators import matching as X
 from mnemoscope.plans.catalog import query
-from mnemoscope.sources.tables import table
+from mnemoscope.sources.tables import dealt, table
 
 _DECLINES = ", ".join("'" + phrase.replace("'", "''") + "'" for phrase in text.DECLINES)
 
@@ -60,7 +60,7 @@ def line_answers(spark, folder):
             .when(F.col("l_linenumber") < 6, F.concat_ws(", ", "l_returnflag", "l_linestatus")).otherwise(
                 F.concat(F.lit('[" '), F.col("l_returnflag"), F.lit(' ", "'), F.col("l_linestatus"), F.lit('", '),
                          F.col("l_linenumber"), F.lit("]"))))
-    return table(spark, folder, "lineitem").select(
+    return dealt(table(spark, folder, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         F.lit(True).alias("answerability"),
         F.when(numeric, F.col("l_tax").cast("decimal(10,2)").cast("string")).otherwise(said).alias("answer"),
