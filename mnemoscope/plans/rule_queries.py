@@ -148,7 +148,7 @@ def p03_typed(spark, folder):
     given = document(F.when(k == 1, F.col("c_custkey").cast("string")).otherwise(name), F.when(k == 5, "null").otherwise(F.lit("true")),
                      line(F.when(k == 2, "other").otherwise(F.col("c_mktsegment"))), F.when(k == 2, nothing).when(k == 5, '{"one":1.0}').otherwise(one),
                      F.when(k != 4, nation), F.when(k == 3, F.lit('"extra":null')))
-    rows = T.table(spark, folder, "customer").select("c_custkey", given.alias("given"), wanted.alias("wanted_document"))
+    rows = T.dealt(T.table(spark, folder, "customer")).select("c_custkey", given.alias("given"), wanted.alias("wanted_document"))
     return X.typed_differences(rows, ["c_custkey"], "given", "wanted_document")
 
 

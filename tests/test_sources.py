@@ -239,3 +239,20 @@ def test_identities_of_digits_keep_their_zeros(spark, tmp_path):
     publish.publish(spark.createDataFrame([("0012", 9), ("12", 3)], "identity string, v int"), target)
     assert sorted(r.identity for r in publish.published_identities(spark, target).collect()) == ["0012", "12"]
     assert publish.unpublished(spark.createDataFrame([("0012", 1), ("012", 2)], "identity string, v int"), publish.published_identities(spark, target)).first().v == 2
+
+
+def test_rows_of_one_small_file_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """Costly rows: manifests, documents to compare and answers of a table in one row group are not left to one task."""
+    from mnemoscope.plans import matching_queries, rule_queries
+
+    spark.range(400).selectExpr("id AS c_custkey", "id % 9 AS c_nationkey", "'n' AS c_name", "'SEG' AS c_mktsegment", "double(id) AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(9).selectExpr("id AS n_nationkey").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(400).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1.0D AS l_extendedprice", "0.1D AS l_tax", "0.1D AS l_discount",
+                                "double(id % 50) AS l_quantity", "'N' AS l_returnflag", "'O' AS l_linestatus").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    given = []
+    monkeypatch.setattr(rule_queries, "run_manifest_violations", lambda manifests, fixtures: given.append(manifests) or manifests.withColumn("ruleId", F.lit("M00")))
+    monkeypatch.setattr(rule_queries.X, "typed_differences", lambda rows, *names: given.append(rows) or rows)
+    rule_queries.m_rules(spark, str(tmp_path))
+    rule_queries.p03_typed(spark, str(tmp_path))
+    for rows in (*given, matching_queries.line_answers(spark, str(tmp_path)), rule_queries.verdict_rows(spark, str(tmp_path))):
+        assert rows.count() == 400 and rows.select(F.spark_partition_id()).distinct().count() > 1
