@@ -7,7 +7,6 @@ All secrets are searched at once, by an Aho-Corasick automaton that a task build
 """
 
 import unicodedata
-from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -123,12 +122,18 @@ def may_hold(text, secrets):
 
 
 def _udf(build):
-    """An Arrow function of texts; ``build`` makes the function of one text, once for each batch stream."""
+    """An Arrow function of texts; ``build`` makes the function of one text, once for each task.
+
+    It takes series, not an iterator of them: a task gives each iterator function a Python worker of its own, while
+    functions of series that mask several columns share one.
+    """
+    made = []
+
     @F.pandas_udf(T.StringType())
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = build()
-        for texts in batches:
-            yield texts.map(one, na_action="ignore")
+    def apply(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(build())
+        return texts.map(made[0], na_action="ignore")
     return apply
 
 

@@ -51,3 +51,12 @@ def test_no_runs_and_smoke_tokenizer(spark, tmp_path):
     smoke = runs_of(spark, [("a", "f", "m", "characters-smoke", "yes")])
     assert P.preflight(archive(spark, ["a"]), smoke, decisions).first().reason == "tokenizer"
     assert P.preflight(archive(spark, ["a"]), smoke, decisions, canonical=False).isEmpty()
+
+
+def test_masked_columns_share_one_python_worker_of_a_task(spark):
+    columns = "rawAnswer string, normalizedAnswer string, judgeOutput string"
+    rows = spark.createDataFrame([(f"a {form} b", f"a {form}", f'{{"reasoning":"{form} seen"}}') for form in ("order key", "ORDER \u212aey")] + [(None, None, None)], columns)
+    masked = P.without_secrets(rows, ("order key",))
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in masked.collect()] == 2 * [("a [REDACTED] b", "a [REDACTED]", '{"reasoning":"[REDACTED] seen"}')] + [(None, None, None)]
