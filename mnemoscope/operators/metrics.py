@@ -15,6 +15,7 @@ CATEGORIES = ("budget", "provider", "adapter", "timeout")
 INCOMPLETE = ("provider", "adapter", "timeout")
 TIERS = ("stable", "semi-stable", "unstable")
 INVESTIGATE_ABOVE = 0.05
+DIMENSIONS = ("ability", "sessionDistance", "evidenceCardinality", "fixtureId")
 
 KEY = ["runId", "probeId"]
 
@@ -54,7 +55,7 @@ def breakdown(outcome):
 
     One pass by grouping sets: partial counts are shuffled once, whatever the number of dimensions.
     """
-    dimensions = ["ability", "sessionDistance", "evidenceCardinality", "fixtureId"]
+    dimensions = list(DIMENSIONS)
     labels = outcome.select("runId", "correct", "eligible",
                             *[F.col(d).cast("string").alias(d) for d in dimensions])
     grouped = labels.groupingSets([["runId", d] for d in dimensions], "runId", *dimensions).agg(

@@ -59,15 +59,21 @@ def report_documents(report):
         "runId", canonical_json(body).alias("report"))
 
 
+def _bound(value, use):
+    """``use`` of a value that is computed once: a lambda binds it, as every use of a column would compute it again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _sized(fields, others, warnings):
-    """(manifest, its total size) where the size counts the manifest's own bytes, digits included."""
+    """(manifest of a size, total size) where the size counts the manifest's own bytes, digits included."""
     def text(size):
         return canonical_json(F.to_json(F.struct(*fields, F.array(*warnings).cast("array<string>").alias("warnings"),
                                                  size.alias("artifactSizeBytes")), KEEP_NULLS))
-    without = others + F.octet_length(text(F.lit(0).cast("bigint"))) - 1
-    fits = F.filter(F.sequence(F.lit(1), F.lit(19)), lambda d: F.length((without + d).cast("string")) == d)
-    size = (without + F.element_at(fits, 1)).cast("bigint")
-    return text(size), size
+
+    def whole(without):
+        fits = F.filter(F.sequence(F.lit(1), F.lit(19)), lambda d: F.length((without + d).cast("string")) == d)
+        return (without + F.element_at(fits, 1)).cast("bigint")
+    return text, _bound(others + F.octet_length(text(F.lit(0).cast("bigint"))) - 1, whole)
 
 
 def bundles(documents, runs, artifacts=None):
@@ -91,8 +97,8 @@ def bundles(documents, runs, artifacts=None):
     fields = [F.lit(REPORT_VERSION).alias("schemaVersion"), F.col("artifactHashes"), *[F.col(c) for c in runs.columns]]
     others = F.col("_own.bytes") + F.coalesce("_bytes", F.lit(0))
     plain, size = _sized(fields, others, [])
-    warned, _ = _sized(fields, others, [F.lit(FOOTPRINT_WARNING)])
-    manifest = F.when(size > FOOTPRINT_BYTES, warned).otherwise(plain)
+    warned, larger = _sized(fields, others, [F.lit(FOOTPRINT_WARNING)])
+    manifest = _bound(size, lambda n: F.when(n > FOOTPRINT_BYTES, _bound(larger, warned)).otherwise(plain(n)))
     rows = rows.withColumn("manifest", F.when(F.col("report").isNotNull(), manifest))
     return rows.select(F.sha2("manifest", 256).alias("identity"), "runId", "manifest", "report")
 

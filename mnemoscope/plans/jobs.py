@@ -163,7 +163,10 @@ def report_runs(gold, captured, scores, requests, facts_of_turns, required):
     requests: runId, probeId, status, category, totalTokens, tierTokens, requestOverheadTokens,
     latencyMs, tierSegments; facts_of_turns: from ``metrics.turn_facts``; required: runId, probeId, factId.
     """
-    outcome = M.outcomes(gold, captured, scores)
+    # Ten aggregations read the outcomes: the join that makes them runs once.
+    outcome = materialized(M.outcomes(gold, captured, scores).select(
+        "runId", *M.DIMENSIONS, "answerability", "judgment", "correct", "eligible", "failureCategory",
+        "latencyMs"), "outcomes")
     accuracy = M.accuracy(outcome)
     per_probe = M.relevance_per_probe(gold, M.retrieved_sources(requests), facts_of_turns, required)
     operations = (M.incomplete(outcome).join(M.failures(outcome), "runId")

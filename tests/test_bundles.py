@@ -77,6 +77,31 @@ def test_bundles_published_read_back_and_damaged(spark, tmp_path):
     assert [r.problem for r in curves["violations"].collect()] == []
 
 
+def test_outcomes_are_joined_once_for_all_parts_of_a_report(spark):
+    gold = spark.createDataFrame([("r", "f", f"p{i}", "abstention" if i == 3 else "a", i != 3, i, 1) for i in range(4)],
+                                 "runId string, fixtureId string, probeId string, ability string, answerability boolean, sessionDistance int, evidenceCardinality int")
+    captured = spark.createDataFrame([("r", f"p{i}", "provider" if i == 2 else None, float(i), i != 2) for i in range(1, 4)],
+                                     "runId string, probeId string, category string, latencyMs double, eligibleForAccuracy boolean")
+    scores = spark.createDataFrame([("r", "p1", "pass", True), ("r", "p3", "abstain", True)], "runId string, probeId string, judgment string, correct boolean")
+    requests = spark.createDataFrame([("r", "p1", "ok", None, 5, (1, 1, 1), 2, 7.0, [(["s"],)])],
+                                     "runId string, probeId string, status string, category string, totalTokens bigint, tierTokens struct<stable:bigint, `semi-stable`:bigint, unstable:bigint>,"
+                                     "requestOverheadTokens bigint, latencyMs double, tierSegments array<struct<sourceIds:array<string>>>")
+    facts = spark.createDataFrame([("f", "s", "x")], "fixtureId string, turnId string, factId string")
+    required = spark.createDataFrame([("r", "p1", "x")], "runId string, probeId string, factId string")
+    made = jobs.report_runs(gold, captured, scores, requests, facts, required)
+    for part in (made.accuracy, made.breakdown, made.abstention, made.operations, made.probe_latency):
+        assert part.inputFiles() and all("/outcomes-" in name for name in part.inputFiles())
+    document = json.loads(B.report_documents(made).first().report)
+    assert document["accuracy"] == {"correct": 2, "answered": 2, "total": 4, "accuracy": 1.0, "completionRate": 0.5}
+    assert document["abstention"]["correctAbstentions"] == 1 and document["operationalTelemetry"]["counts"]["incompleteCount"] == 1
+    assert document["operationalTelemetry"]["probeLatencyMs"]["max"] == 3 and sorted(document["breakdown"]["sessionDistance"]) == ["0", "1", "2", "3"]
+
+
+def test_the_size_of_a_manifest_is_bound_not_computed_at_every_use(spark):
+    plan = made(spark, 1).select("manifest")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("artifactSizeBytes") <= 8
+
+
 def test_no_runs(spark, tmp_path):
     path = str(tmp_path / "reports")
     rows = made(spark, 0)
